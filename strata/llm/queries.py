@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from strata.llm import op1_url_filter, op6_warc, op10_packing
+from strata.llm import op1_url_filter, op2_quality, op3_language, op6_warc, op9_toxicity, op10_packing
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter.query,
+        "op2_quality": op2_quality.query,
+        "op3_language": op3_language.query,
         "op6_warc": op6_warc.query,
+        "op9_toxicity": op9_toxicity.query,
         "op10_packing": op10_packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": op1_url_filter.SQL, "op6_warc": op6_warc.SQL}
+    return {"op1_url_filter": op1_url_filter.SQL, "op2_quality": op2_quality.SQL, "op6_warc": op6_warc.SQL}
