@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import op1_url_filter, op2_quality, op3_language, op6_warc, op9_toxicity, op10_packing
+from strata.llm import op1_url_filter, op2_quality, op3_language, op5_substrings, op6_warc, op9_toxicity, op10_packing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": op1_url_filter.query,
         "op2_quality": op2_quality.query,
         "op3_language": op3_language.query,
+        "op5_substrings": op5_substrings.query,
         "op6_warc": op6_warc.query,
         "op9_toxicity": op9_toxicity.query,
         "op10_packing": op10_packing.query,
