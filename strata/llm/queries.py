@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from strata.llm import op1_url_filter, op2_quality, op3_language, op5_substrings, op6_warc, op9_toxicity, op10_packing
+from strata.llm import (
+    op1_url_filter,
+    op2_quality,
+    op3_language,
+    op4_jaccard,
+    op5_substrings,
+    op6_warc,
+    op7_license,
+    op8_decontaminate,
+    op9_toxicity,
+    op10_packing,
+)
 
 
 def queries() -> dict:
@@ -10,12 +21,21 @@ def queries() -> dict:
         "op1_url_filter": op1_url_filter.query,
         "op2_quality": op2_quality.query,
         "op3_language": op3_language.query,
+        "op4_jaccard": op4_jaccard.query,
         "op5_substrings": op5_substrings.query,
         "op6_warc": op6_warc.query,
+        "op7_license": op7_license.query,
+        "op8_decontaminate": op8_decontaminate.query,
         "op9_toxicity": op9_toxicity.query,
         "op10_packing": op10_packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": op1_url_filter.SQL, "op2_quality": op2_quality.SQL, "op6_warc": op6_warc.SQL}
+    return {
+        "op1_url_filter": op1_url_filter.SQL,
+        "op2_quality": op2_quality.SQL,
+        "op4_jaccard": op4_jaccard.SQL,
+        "op6_warc": op6_warc.SQL,
+        "op7_license": op7_license.SQL,
+    }
