@@ -2,55 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.storage import keep, scratch_dir, ship
+
+__all__ = ["bounded_batches", "chunks", "fold", "keep", "scratch_dir", "table", "text_buffers"]
+
 #: Bytes of text that one vectorised step works on (a longer text is a step of its own).
 CHUNK_BYTES = 1 << 20
 #: Bytes of one Arrow batch sent to a Python worker.
 BATCH_BYTES = "8m"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names no folder is one chosen here (a local session, as in tests).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else os.path.join(tempfile.gettempdir(), "strata-checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, where: str, name: str) -> DataFrame:
-    """Write ``df`` as a table of the scratch folder and read it back; this cuts the lineage."""
-    path = f"{where}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """For operators with Python workers: ship this package to the executors, once for each
     application, and bound Arrow batches by bytes, so that long texts don't pile up in a worker."""
-    context = spark.sparkContext
-    if getattr(context, "_strata_shipped", None) is None:
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        target = os.path.join(tempfile.mkdtemp(), "strata_package.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for folder, _, names in os.walk(os.path.join(root, "strata")):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, root))
-        context.addPyFile(target)
-        context._strata_shipped = target
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
