@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.storage import keep, scratch_dir, ship
 
-__all__ = ["bounded_batches", "chunks", "fold", "keep", "scratch_dir", "table", "text_buffers"]
+__all__ = ["bounded_batches", "chunks", "fold", "keep", "lean_worker", "scratch_dir", "table", "text_buffers"]
 
 #: Bytes of text that one vectorised step works on (a longer text is a step of its own).
 CHUNK_BYTES = 1 << 20
@@ -24,6 +24,23 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+def lean_worker() -> None:
+    """In a Python worker: give freed memory back, since workers stay idle between stages."""
+    if _lean:
+        return
+    _lean.append(True)
+    import ctypes
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: fixed, so that large arrays are mapped on their own
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
+_lean: list = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +54,7 @@ def text_buffers(column: pa.Array):
     """(uint8 data, int64 offsets) of a string column; nulls are empty texts."""
     import numpy as np
 
+    lean_worker()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
