@@ -1,0 +1,200 @@
+"""Targets, ranges, cutoffs, the planner's traps, diffs and validation on small inputs."""
+
+import datetime
+import difflib
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from strata import cli
+from strata.functions.targets import Target, months_before, parse_target, target_columns
+from strata.operators import blame, diff, graph, planner, validate
+from strata.schema import TABLES, ddl
+from strata.sources.sinks import sidecars
+from strata.storage import scratch_dir
+
+GOOD = {"src/main.rs:42": ("src/main.rs", 42, 42), "foo.rs:10-25": ("foo.rs", 10, 25), "a:b:3-4": ("a:b", 3, 4), "x:+7": ("x", 7, 7), "x:4294967295": ("x", 4294967295, 4294967295)}
+BAD = ["src/main.rs", ":42", "foo.rs:0", "foo.rs:30-10", "x:", "x:1-", "x:-1", "x:1-2-3", "x:4294967296", "x:a", "x:1-0"]
+
+
+@pytest.mark.parametrize("text,want", GOOD.items())
+def test_target(text, want):
+    assert parse_target(text) == Target(*want)
+
+
+@pytest.mark.parametrize("text", BAD)
+def test_target_errors(text):
+    with pytest.raises(ValueError):
+        parse_target(text)
+
+
+def test_target_columns(spark):
+    df = spark.createDataFrame([(t,) for t in [*GOOD, *BAD, None]], "t string")
+    got = {r["t"]: (r["path"], r["start_line"], r["end_line"]) for r in df.withColumns(target_columns(F.col("t"))).collect()}
+    assert got == GOOD | dict.fromkeys([*BAD, None], (None, None, None))
+
+
+def test_default_dates(spark):
+    day = F.lit("2024-08-31").cast("date")
+    assert spark.range(1).select(months_before(day, 6)).first()[0] == datetime.date(2024, 2, 29)
+
+
+def test_added_ranges(spark):
+    df = spark.createDataFrame([(1, n) for n in (10, 11, 12, 20, 21, 30, 30)], "f int, new_line long")
+    assert sorted(map(tuple, diff.added_ranges(df, ["f"]).collect())) == [(1, 10, 12), (1, 20, 21), (1, 30, 30)]
+    assert diff.added_ranges(df.where("f > 1"), ["f"]).count() == 0
+
+
+def test_cutoffs(spark):
+    day = datetime.date
+    rows = [(0, day(2030, 1, 1), 9, "root_commit"), (0, day(2020, 1, 1), 5, "root_commit"), (1, day(2020, 1, 1), 5, "older_than_since"), (1, day(2024, 1, 1), 0, None), (1, None, 0, None), (1, day(2030, 1, 1), 5, "max_depth"), (2, day(2030, 1, 1), 4, None)]
+    df = spark.createDataFrame(rows, "np int, d date, depth int, want string")
+    got = df.select("want", planner.cutoff(F.col("np"), F.col("d"), F.col("depth"), F.lit("2024-01-01").cast("date"), 5).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
+
+
+SPANS = "commit string, path string, s long, e long, span string, blamed string, origin_path string, origin_start long, line_count long"
+EVENTS = "commit string, pos int, new_path string, old_path string, event_type string, is_binary boolean"
+HUNKS = "commit string, pos int, new_path string, old_start long, old_lines long, new_start long, new_lines long"
+
+
+def plan(spark, spans, events, hunks, parents=(("c", 0, "p"),), **more):
+    args = [spark.createDataFrame(list(rows), schema) for rows, schema in ((spans, SPANS), (parents, "commit string, pos int, parent string"), (events, EVENTS), (hunks, HUNKS))]
+    got = planner.plan(*args, **more).select("span", "pos", "parent", "edge_type", "next_path", "next_s", "next_e").collect()
+    return sorted(map(tuple, got), key=str)
+
+
+def span(name, path="f", start=10, count=5):
+    return ("q", "f", 10, 14, name, "c", path, start, count)
+
+
+def test_plan_traps(spark):
+    modified = [("c", 0, "f", "old", "renamed", False)]
+    # a hunk hands on its whole old side (T5), one without it ends (T6), several edges for a span (T11)
+    hunks = [("c", 0, "f", 3, 20, 12, 2), ("c", 0, "f", 7, 0, 14, 1), ("c", 0, "f", 1, 1, 1, 1), ("c", 0, "f", 5, 4, 12, 0)]
+    assert plan(spark, [span("a")], modified, hunks) == [("a", 0, "p", "introduced_here", None, None, None), ("a", 0, "p", "recurse_to_parent", "old", 3, 22)]
+    # none overlapping: the same numbers (T7); an exact range is shifted by what came before
+    before = [("c", 0, "f", 1, 1, 1, 4)]
+    assert plan(spark, [span("a")], modified, before) == [("a", 0, "p", "recurse_to_parent", "old", 10, 14)]
+    assert plan(spark, [span("a")], modified, before, exact_ranges=True) == [("a", 0, "p", "recurse_to_parent", "old", 7, 11)]
+    # not in the parent's diff: no edge (T8)
+    assert plan(spark, [span("a", "g")], modified, []) == []
+    # binary beats added (T10); added ends; an unknown origin ends at every parent (T28)
+    assert plan(spark, [span("a")], [("c", 0, "f", None, "added", True)], [])[0][3] == "binary_skipped"
+    assert plan(spark, [span("a")], [("c", 0, "f", None, "added", False)], [])[0][3] == "introduced_here"
+    both = (("c", 0, "p"), ("c", 1, "r"), ("c", 2, "t"))
+    assert [r[1:4] for r in plan(spark, [span("a", None)], modified, [], both)] == [(0, "p", "introduced_here"), (1, "r", "introduced_here"), (2, "t", "introduced_here")]
+
+
+def test_first_event(spark):
+    e = spark.createDataFrame([("c", 0, "f", "b", 2), ("c", 0, "f", "a", 1), ("c", 0, None, "z", 0)], "commit string, pos int, new_path string, old_path string, k int")
+    assert [r["old_path"] for r in planner.first_events(e, ["k"]).collect()] == ["a"]
+
+
+def test_overlap_needs_a_line(spark):
+    o = lambda *v: spark.range(1).select(planner.overlap(*map(F.lit, v))).first()[0]
+    assert o(10, 15, 14, 1) and o(10, 15, 1, 10) and not o(10, 15, 15, 3) and not o(10, 15, 1, 9) and not o(10, 15, 12, 0)
+
+
+def test_event_types(spark):
+    rows = [("Added", False), ("Deleted", None), ("Modified", True), ("Typechange", False), ("Renamed", True), ("Copied", False), ("Other", False)]
+    df = spark.createDataFrame(rows, "s string, b boolean")
+    kind = diff.event_type(F.col("s"))
+    got = [tuple(r) for r in df.select(kind, diff.effective_event_type(kind, F.col("b"), False), diff.collected_event_type(F.col("s"), F.col("b"))).collect()]
+    assert got == [("added",) * 3, ("deleted",) * 3, ("modified", "binary_skipped", "binary_skipped"), ("modified",) * 3, ("renamed", "renamed", "binary_skipped"), ("copied",) * 3, ("modified",) * 3]
+
+
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_lcs_is_longest(a, b):
+    pairs = diff.lcs(a, b)
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    assert len(pairs) == best[-1][-1]
+
+
+def test_patch_applies(spark):
+    """A patch's lines and headers are those of a unified diff with three lines of context."""
+    rng, rows = random.Random(3), []
+    for f in range(12):
+        a = [f"l{i}" for i in range(rng.randint(0, 40))]
+        b = [x if rng.random() > 0.1 else x + "'" for x in a if rng.random() > 0.08]
+        rows.append((f, a, b + ["end"] * (f % 2)))
+    pairs = spark.createDataFrame(rows, "f int, old array<string>, new array<string>")
+    side = lambda s: pairs.select("f", F.posexplode(s).alias("i", "line")).select("f", (F.col("i") + 1).cast("long").alias(f"{s}_line"), "line")
+    script = diff.edit_script(side("old"), side("new"), diff.lcs_matches(pairs, ["f"]), ["f"])
+    got = {}
+    for r in diff.hunks(diff.hunk_rows(script, ["f"]), ["f"], patch=True).orderBy("f", "hunk").collect():
+        got.setdefault(r["f"], []).append(r["patch_text"])
+    for f, a, b in rows:
+        want = list(difflib.unified_diff(a, b, lineterm="", n=3))[2:]
+        assert sum(x[0] == "-" for p in got.get(f, []) for x in p.splitlines()) == sum(x[0] == "-" for x in want)
+        out, at = [], 0
+        for p in got.get(f, []):
+            head, *body = p.rstrip("\n").split("\n")
+            start = int(head.split()[1][1:].split(",")[0])
+            count = int((head.split()[1] + ",1").split(",")[1])
+            first = start - 1 if count else start
+            out += a[at:first]
+            assert [x[1:] for x in body if x[0] in " -"] == a[first : first + count]
+            out += [x[1:] for x in body if x[0] in " +"]
+            at = first + count
+        assert out + a[at:] == b
+
+
+def test_renames_and_copies(spark):
+    d = spark.createDataFrame([(1, "a", "Deleted", "x", None), (1, "b", "Deleted", "x", None), (1, "c", "Added", None, "x"), (1, "m", "Modified", "y", "z"), (1, "n", "Added", None, "y")], "k int, path string, status string, old_blob string, new_blob string")
+    assert [tuple(r) for r in diff.rename_exact(d, ["k"]).select("old_path", "new_path").collect()] == [("a", "c")]
+    assert [tuple(r) for r in diff.copies(d, ["k"]).select("old_path", "new_path").collect()] == [("m", "n")]
+    old = spark.createDataFrame([(1, "a", str(i)) for i in range(10)] + [(1, "z", "q")], "k int, path string, line string")
+    new = spark.createDataFrame([(1, "b", str(i)) for i in range(5, 15)], "k int, path string, line string")
+    assert [tuple(r)[1:] for r in diff.similar_files(old, new, ["k"], 50).collect()] == [("a", "b", 50)]
+    assert diff.similar_files(old, new, ["k"], 51).count() == 0
+    with pytest.raises(ValueError):
+        diff.similar_files(old, new, ["k"], 101)
+
+
+def test_tree_diff_leaves_submodules_out(spark):
+    t = "k int, path string, blob string, mode string"
+    old = spark.createDataFrame([(1, "a", "x", "100644"), (1, "s", "1", "160000")], t)
+    new = spark.createDataFrame([(1, "a", "y", "100644"), (1, "s", "2", "160000"), (1, "n", "x", None)], t)
+    assert sorted((r["path"], r["status"]) for r in diff.tree_diff(old, new, ["k"]).collect()) == [("a", "Modified"), ("n", "Added")]
+
+
+def test_jump_and_spans(spark):
+    p = spark.createDataFrame([(i, i - 1 if i % 10 else None) for i in range(100)], "node long, next long")
+    assert all(r["root"] == r["node"] // 10 * 10 for r in blame.jump(p, scratch_dir(spark)).collect())
+    rows = [(1, 1, "c", 4, "f"), (1, 2, "c", 5, "f"), (1, 3, "c", 7, "f"), (1, 4, "d", 8, "f"), (1, 5, None, 9, None)]
+    s = blame.spans(spark.createDataFrame(rows, "k int, final_line long, blamed string, origin_line long, origin_path string"), ["k"])
+    assert sorted((r["final_start_line"], r["line_count"]) for r in s.collect()) == [(1, 2), (3, 1), (4, 1), (5, 1)]
+    q = spark.createDataFrame([(1, 2, 3), (1, 9, 9)], "k int, start_line long, end_line long")
+    got = sorted((r["final_start_line"], r["origin_start_line"], r["line_count"]) for r in blame.clip(s, q, ["k"]).collect())
+    assert got == [(2, 5, 1), (3, 7, 1)]
+
+
+def test_merge_bases(spark):
+    p = spark.createDataFrame([("d", "b"), ("d", "c"), ("e", "b"), ("e", "c"), ("b", "a"), ("c", "a"), ("f", "b")], "sha string, parent_sha string")
+    base = lambda a, b: sorted(r["sha"] for r in graph.merge_bases(a, b, p).collect())
+    assert base("d", "e") == ["b", "c"] and base("d", "f") == ["b"] and base("a", "d") == ["a"] and base("d", "d") == ["d"] and base("d", "x") == []
+
+
+def test_validation(spark):
+    e = spark.createDataFrame([(1, "max_depth", 5), (2, "recurse_to_parent", None), (3, "odd", None), (4, "max_depth", None)], "id long, edge_type string, next_request_id long")
+    assert validate.wrong_next(e).count() == 2 and validate.outside_domain(e, "edge_type", ["max_depth", "recurse_to_parent"]).count() == 1
+    assert validate.broken_references(e, ["next_request_id"], spark.range(3), ["id"]).count() == 1
+    assert validate.repeated_keys(e.union(e.where("id = 1")), ["id"]).collect() == [(1, 2)]
+
+
+def test_guide_and_paths(tmp_path):
+    assert "{schema}" not in cli.guide() and ddl() in cli.guide() and all(f"create table {n} " in ddl() for n in TABLES)
+    assert cli.main(["guide", "-o", f"{tmp_path}/g.md"]) == 0 and (tmp_path / "g.md").read_text() == cli.guide()
+    assert sidecars("x/db.sqlite") == ["x/db.sqlite-wal", "x/db.sqlite-shm"] and sidecars("db") == ["db-wal", "db-shm"]
+    a = cli.parser().parse_args(["scan"])
+    assert (a.base, a.max_depth, a.rename_threshold) == ("origin/main", 5, 50) and cli.parser().parse_args(["trace", "x:1"]).max_depth == 20
