@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from strata import fixtures as fx
 from strata.functions.summary import summary as run_summary
 from strata.operators import graph, planner, validate
 from strata.schema import RECURSE
+from strata.sources import gitrepo
 from strata.storage import keep, scratch_dir
 
 KEY = planner.KEY
@@ -264,7 +268,15 @@ def validate_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.outside_domain(o, "o_orderstatus", ["O", "F"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (parents_expand, ancestors, merge_base, classify_cutoff, event_first_match, hunk_overlap, plan_actions, request_fixpoint, lineage_edges, edge_type_counts, spans_without_edges, commits_discovered, dangling_parents, summary, files_touched, ranges_for_file, top_commits, seed_covering_line, lineage_step, lineage_walk, renames_copies, commit_parent_list, file_dossier, validate_fk, validate_unique, validate_enum)}
+def git_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commits of the repository that this code lies in; none where there is no git repository."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if shutil.which("git") is None or not os.path.isdir(os.path.join(root, ".git")):
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (c.split(" ") for c in gitrepo.SCHEMAS["commits"].split(", "))])
+    return gitrepo.read(spark, root, "commits")
+
+
+QUERIES = {f.__name__: f for f in (git_source, parents_expand, ancestors, merge_base, classify_cutoff, event_first_match, hunk_overlap, plan_actions, request_fixpoint, lineage_edges, edge_type_counts, spans_without_edges, commits_discovered, dangling_parents, summary, files_touched, ranges_for_file, top_commits, seed_covering_line, lineage_step, lineage_walk, renames_copies, commit_parent_list, file_dossier, validate_fk, validate_unique, validate_enum)}
 
 _B, _L = f"with {fx.B_SQL}", f"with recursive {fx.LINEAGE_SQL}"
 _D = "disc as (select blamed as sha from sp union select c from h_seed)"
