@@ -73,7 +73,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1.5e-4) -> Model:
     """Fit on the distinct features of each row; full batches with Adam, in a fixed order."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, prior)
@@ -81,8 +81,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     cp = np.bincount(np.concatenate(positive), minlength=1 << BITS)
     cu = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
     ratio = np.log((cp + 0.1) / (np_ + 0.2)) - np.log((cu + 0.1 + 0.5 * np.sqrt(cu)) / (nu + 0.2))
-    least = max(2, int(0.002 * np_))
-    able = np.flatnonzero((cp >= least) & (ratio > 1.0))
+    least = max(3, int(0.003 * np_))
+    able = np.flatnonzero((cp >= least) & (ratio > 1.5))
     gain = cp[able] * ratio[able]
     ids = np.sort(able[np.lexsort((able, -gain))[:FEATURES]])
     if not len(ids):
