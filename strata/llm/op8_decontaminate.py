@@ -1,9 +1,12 @@
-"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Each item's word n-grams are counted over all documents; its rarest ones are seeds. Where a document
-has a seed, the passage around it is aligned with the item, word by word, so that edited and
-paraphrased copies score too: a match gives 2, a replaced, missing or added word costs 1, and the
-score is the share of what the whole item would give.
+Every word n-gram of an item is a seed. Where a document has one, the passage around it is aligned with
+the item, word by word, so that edited and paraphrased copies score too: a match gives 2, a replaced,
+missing or added word costs 1, and the score is the share of what the whole item would give.
+
+A passage reaches as far as any alignment through its seed that has the least score, and it is left out
+only if too few of the item's words occur in it for that score. So each alignment of the least score
+that keeps n words of the item in a row is found; one that keeps no n in a row is not.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ from strata.llm import hashing
 from strata.llm.common import bounded_batches, chunks, table, text_buffers
 
 GRAM = 3
-#: Share of an item's distinct n-grams that are its seeds, the rarest first, and the least number.
-SEED_SHARE, SEED_LEAST = 0.5, 8
 MIN_SCORE = 0.5
 MATCH, COST = 2, 1
 #: Bytes of the items that are sent to tasks at once; more items are done in blocks.
 BLOCK_BYTES = 4 << 20
 #: Cells of one alignment step.
 CELLS = 1 << 18
+#: Seeds of items, and words of passages, that are looked at together.
+ROWS = 1 << 18
 #: A-Z as a-z, every other ASCII byte that is no letter or digit as a space.
 _PLAIN = np.array([c if c >= 128 or chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], dtype=np.uint8)
 
@@ -40,7 +43,7 @@ def word_ids(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Items:
-    """Words and n-grams of a block of items; ``keep`` narrows the n-grams to the seeds."""
+    """Words and n-grams of a block of items."""
 
     def __init__(self, ids: list, texts: list[str | None], gram: int = GRAM):
         data = [(t or "").encode() for t in texts]
@@ -51,29 +54,11 @@ class Items:
         g = hashing.grams(words, gram)
         at = np.flatnonzero(np.append(item[gram - 1 :] == item[: len(item) - gram + 1], np.zeros(min(gram - 1, len(item)), dtype=bool))) if len(item) >= gram else np.zeros(0, dtype=np.int64)
         self.seed, self.item, self.place = g[at], item[at], at - first[item[at]]
-        self.sort()
-
-    def sort(self) -> None:
         order = np.lexsort((self.place, self.item, self.seed))
         self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
         self.distinct, self.begin = np.unique(self.seed, return_index=True)
         self.end = np.append(self.begin[1:], len(self.seed))
 
-    def keep(self, docs: np.ndarray, share: float, least: int) -> None:
-        """Keep each item's rarest n-grams; ``docs`` has the count of each of ``distinct``."""
-        count = np.repeat(docs, self.end - self.begin)
-        order = np.lexsort((self.seed, count, self.item))
-        item, seed = self.item[order], self.seed[order]
-        new = np.append(True, (item[1:] != item[:-1]) | (seed[1:] != seed[:-1])) if len(item) else np.zeros(0, dtype=bool)
-        rank = np.cumsum(new)
-        start = np.searchsorted(item, item)
-        rank = rank - rank[start] if len(item) else rank
-        total = np.zeros(len(self.ids) + 1)
-        np.maximum.at(total, item, rank + 1)
-        chosen = order[rank < np.maximum(np.ceil(share * total[item]), least)]
-        self.seed, self.item, self.place = self.seed[chosen], self.item[chosen], self.place[chosen]
-        self.sort()
-
     def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word, index of distinct) wherever a document has one of the n-grams."""
         if len(words) < self.gram or not len(self.distinct):
@@ -114,14 +99,56 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, last
 
 
+def _slices(doc: np.ndarray, count: np.ndarray):
+    """Ranges of hits with about ROWS seeds together: whole documents, or parts of one that has more."""
+    total = np.append(0, np.cumsum(count))
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)) if len(doc) else doc
+    i = 0
+    while i < len(doc):
+        fits = int(np.searchsorted(total, total[i] + ROWS, side="right")) - 1
+        whole = int(np.searchsorted(ends, fits, side="right")) - 1
+        j = int(ends[whole]) if whole >= 0 and ends[whole] > i else max(fits, i + 1)
+        yield i, j
+        i = j
+
+
+def _able(items: Items, words: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, min_score: float) -> np.ndarray:
+    """Passages that hold enough of their item's words for ``min_score``."""
+    size, wide = np.diff(items.first)[item], end - begin
+    out = np.zeros(len(item), dtype=bool)
+    total = np.append(0, np.cumsum(size + wide))
+    k = 0
+    while k < len(item):
+        e = max(int(np.searchsorted(total, total[k] + ROWS, side="right")) - 1, k + 1)
+
+        def keys(of, first, n):
+            which = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
+            return which, of[at] + which.astype(np.uint64) * np.uint64(hashing.BASE)
+
+        which, own = keys(items.words, items.first[item[k:e]], size[k:e])
+        held = np.isin(own, keys(words, begin[k:e], wide[k:e])[1])
+        out[k:e] = np.bincount(which, weights=held, minlength=e - k) >= min_score * size[k:e] - 1e-9
+        k = e
+    return out
+
+
 def find_leaks(items: Items, words: np.ndarray, first: np.ndarray, min_score: float) -> dict[int, list[tuple[int, float, int]]]:
     """{document: [(item, score, last word)]}, the best alignment of each item from ``min_score`` on."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     word, which = items.hits(words, doc)
     count = items.end[which] - items.begin[which]
+    out: dict[int, dict[int, tuple[float, int]]] = {}
+    for i, j in _slices(doc[word], count):
+        _align_hits(items, words, first, min_score, doc[word[i:j]], word[i:j], which[i:j], count[i:j], out)
+    return {q: [(i, *v) for i, v in sorted(got.items())] for q, got in out.items()}
+
+
+def _align_hits(items: Items, words: np.ndarray, first: np.ndarray, min_score: float, doc: np.ndarray, word: np.ndarray, which: np.ndarray, count: np.ndarray, out: dict[int, dict[int, tuple[float, int]]]) -> None:
+    """Aligns the passages around the hits; ``out`` keeps each item's best alignment in each document."""
     row = np.repeat(np.arange(len(word)), count)
     entry = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + items.begin[which][row]
-    d, item, start = doc[word[row]], items.item[entry], word[row] - items.place[entry]
+    d, item, start = doc[row], items.item[entry], word[row] - items.place[entry]
     # hits of one item that place it about equally are one passage
     order = np.lexsort((start, item, d))
     d, item, start = d[order], item[order], start[order]
@@ -129,10 +156,12 @@ def find_leaks(items: Items, words: np.ndarray, first: np.ndarray, min_score: fl
     near = (d[1:] == d[:-1]) & (item[1:] == item[:-1]) & (start[1:] - start[:-1] <= np.maximum(size[1:] // 2, 8)) if len(d) else np.zeros(0, dtype=bool)
     head = np.flatnonzero(np.append(True, ~near)) if len(d) else np.zeros(0, dtype=np.int64)
     tail = np.append(head[1:], len(d)) - 1 if len(d) else head
-    pad = np.maximum(size[head] // 2, 8)
+    # as many words can be added at most, all on one side of the hit
+    pad = np.maximum(np.ceil(MATCH * (1 - min_score) / COST * size[head]).astype(np.int64), 8)
     begin = np.maximum(start[head] - pad, first[d[head]])
     end = np.minimum(start[tail] + size[head] + pad, first[d[head] + 1])
-    out: dict[int, dict[int, tuple[float, int]]] = {}
+    able = _able(items, words, item[head], begin, end, min_score)
+    head, begin, end = head[able], begin[able], end[able]
     k = 0
     while k < len(head):
         e, widest_a, widest_b = k, 0, 0
@@ -151,7 +180,6 @@ def find_leaks(items: Items, words: np.ndarray, first: np.ndarray, min_score: fl
             if i not in got or got[i][0] < share[r]:
                 got[i] = (float(share[r]), int(begin[k + r] + last[r] - first[q]))
         k = e
-    return {q: [(i, *v) for i, v in sorted(got.items())] for q, got in out.items()}
 
 
 def _blocks(items: DataFrame, item_key: str, text: str):
@@ -173,7 +201,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
 
     Null and empty texts have no leaks; null and empty items and items of fewer words than ``gram`` are
     never found. Repeated rows are documents of their own, items of equal id are items of their own. A
-    column named ``leaks`` is replaced. A block of items is two passes over the documents.
+    column named ``leaks`` is replaced. A block of items is one pass over the documents.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -182,27 +210,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     out, names = base, base.columns
     marks = []
     for b, (ids, texts) in enumerate(_blocks(items, item_key, item_text)):
-        block = Items(ids, texts, gram)
-        sent = spark.sparkContext.broadcast(block)
-
-        def count(batches, sent=sent):
-            x = sent.value
-            total = np.zeros(len(x.distinct), dtype=np.int64)
-            for batch in batches:
-                buf, off = text_buffers(batch.column(0))
-                for i, j in chunks(off):
-                    words, first = word_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                    doc = np.repeat(np.arange(j - i), np.diff(first))
-                    word, which = x.hits(words, doc)
-                    total += np.bincount(np.unique(doc[word] * max(len(total), 1) + which) % max(len(total), 1), minlength=len(total))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "docs"])
-
-        docs_of = np.zeros(len(block.distinct), dtype=np.int64)
-        for r in base.select(text).mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect():
-            docs_of[r["gram"]] = r["docs"]
-        block.keep(docs_of, SEED_SHARE, SEED_LEAST)
-        seeds = spark.sparkContext.broadcast(block)
+        seeds = spark.sparkContext.broadcast(Items(ids, texts, gram))
 
         def find(batches, seeds=seeds, b=b):
             x = seeds.value

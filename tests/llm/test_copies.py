@@ -226,6 +226,39 @@ def test_decontamination(spark, edge, none, monkeypatch):
     assert op8.mark_leaks(edge, b.where("false")).where("size(leaks) > 0").count() == 0
 
 
+@pytest.mark.parametrize("n,share", [(40, 0.2), (40, 0.25), (40, 0.3), (100, 0.2), (100, 0.3)])
+def test_replaced_words_equal_brute_force(monkeypatch, n, share):
+    """An exact copy beside each edited one, as it was before; few rows at once change nothing."""
+    rng = np.random.default_rng(n + int(100 * share))
+    texts = [[f"v{w}" for w in rng.integers(0, 3000, n)] for _ in range(60)]
+    items = op8.Items(list(range(60)), [" ".join(t) for t in texts])
+    docs = [" ".join(t) for t in texts]
+    for t in texts:
+        copy = [f"u{i}" if r < share else w for i, (w, r) in enumerate(zip(t, rng.random(n)))]
+        docs.append(" ".join([f"x{i}" for i in range(50)] + copy + [f"y{i}" for i in range(50)]))
+    data = [d.encode() for d in docs]
+    words, first = op8.word_ids(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]))
+    want = {}
+    for q in range(len(docs)):
+        i = q % 60
+        score, _ = op8.align([items.words[items.first[i] : items.first[i + 1]]], [words[first[q] : first[q + 1]]])
+        if score[0] >= 2 * n * 0.5:
+            want[q, i] = score[0] / (2 * n)
+    assert sum(q >= 60 for q, _ in want) > 30
+    for rows in (op8.ROWS, 50):
+        monkeypatch.setattr(op8, "ROWS", rows)
+        assert {(q, i): s for q, found in op8.find_leaks(items, words, first, 0.5).items() for i, s, _ in found} == want
+
+
+def test_added_words_on_one_side():
+    item = [f"v{i}" for i in range(40)]
+    text = item[:3] + [w for v in item[3:] for w in (v, "x")]
+    items = op8.Items([0], [" ".join(item)])
+    data = " ".join(text).encode()
+    words, first = op8.word_ids(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+    assert op8.find_leaks(items, words, first, 0.5) == {0: [(0, (80 - 36) / 80, len(text) - 2)]}
+
+
 def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline as p
 
