@@ -251,7 +251,7 @@ def _settle(hot: int):
         held: pa.Table | None = None
         opened = None  # an anchor of which rows have gone out already
 
-        def settle(t: pa.Table, known):
+        def settle(t: pa.Table, known):  # an anchor that is cut is hot in all its slices, whatever each holds
             c = {n: t.column(n).to_numpy() for n in _ROW}
             done = c["kind"] == _DONE
             if done.any():
@@ -265,7 +265,9 @@ def _settle(hot: int):
             which = np.cumsum(new_run) - 1
             many = np.bincount(which, weights=kind == _MANY) + np.bincount(which) > 1
             per_anchor = np.bincount((np.cumsum(new_anchor) - 1)[new_run])
-            others = per_anchor[np.cumsum(new_anchor) - 1] + (anchor == known if known is not None else 0)
+            others = per_anchor[np.cumsum(new_anchor) - 1]
+            if known is not None:
+                others = np.where(anchor == known, hot + 1, others)
             settled = many[which]
             yield _out(c, at[settled & (kind == _ONE)], _DONE, 0)
             for flag, big in ((0, (others > 1) & (others <= hot)), (1, others > hot)):
@@ -280,12 +282,13 @@ def _settle(hot: int):
             held = t if held is None else pa.concat_tables([held, t])
             anchor = held.column("anchor").to_numpy()
             cut = int(np.searchsorted(anchor, anchor[-1]))
+            whole = cut > 0
             if cut == 0 and len(anchor) >= LOCAL_ROWS:  # one anchor all through: let whole runs go
                 own = held.column("run").to_numpy()
                 cut = int(np.flatnonzero(own != own[-1])[-1] + 1) if (own != own[-1]).any() else 0
             if cut:
+                opened = opened if whole else anchor[-1]
                 yield from settle(held.slice(0, cut), opened)
-                opened = anchor[cut - 1]
                 held = held.slice(cut)
         if held is not None and held.num_rows:
             yield from settle(held, opened)

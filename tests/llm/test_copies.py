@@ -159,6 +159,21 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     assert covered == sorted((k + 1, w) for k, t in enumerate(texts) for w in range(len(t) - 199))
 
 
+@pytest.mark.parametrize("last", [1, 2, 7])
+def test_slices_of_an_anchor_have_one_flag(monkeypatch, last):
+    """A short last slice of an anchor is dealt out by offset as its first ones are."""
+    monkeypatch.setattr(op5, "LOCAL_ROWS", 40)
+    n = 80 + last
+    rows = [(7, i) for i in range(n)] + [(8, 1), (8, 2), (9, 5)]
+    batches = []
+    for i in range(0, len(rows), 10):
+        anchor, run = (np.array(c, dtype=np.int64) for c in zip(*rows[i : i + 10]))
+        zero = np.zeros(len(run), dtype=np.int64)
+        batches.append(op5._batch([np.full(len(run), op5._ONE, np.int8), anchor, run, run, zero + 300, zero, zero, zero]))
+    out = pa.Table.from_batches(list(op5._settle(5)(iter(batches)))).to_pylist()
+    assert sorted((r["anchor"], r["run"], r["kind"], r["key"]) for r in out) == [(7, 1, op5._ASK, i) for i in range(n)] + [(8, 0, op5._ASK, i) for i in (1, 2)]
+
+
 def test_suffix_sort():
     rng = random.Random(4)
     for alphabet in ("a", "ab", "abcdef"):
