@@ -85,6 +85,6 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words; the last n - 1 entries run over the end and are not to be used."""
     out = h * WORD[0]
-    for k in range(1, n):
+    for k in range(1, min(n, len(h))):
         out[: len(h) - k] += h[k:] * WORD[k]
     return mix(out)

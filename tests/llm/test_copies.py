@@ -82,6 +82,22 @@ def test_jaccard_edges(spark, edge, none):
         op4.near_duplicates(edge, percent=40)
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_a_single_short_text(n):
+    """A chunk of one text of few words: its shingles are those it has beside others."""
+    text, other = " ".join("abcdefg"[:n]).encode(), b" one two three four five six seven"
+    alone = op4.shingle_sets(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    both = op4.shingle_sets(np.frombuffer(text + other, dtype=np.uint8), np.array([0, len(text), len(text + other)]))
+    assert len(alone) == 1 and alone[0].tolist() == both[0].tolist() and len(alone[0]) == max(min(n, 1), n - 4)
+
+
+def test_a_short_text_beside_a_long_one(spark):
+    long = " ".join(f"w{i}" for i in range(200000))
+    docs = spark.createDataFrame([(1, long), (2, "only three words"), (3, "only two")], "doc_id long, text string").coalesce(1)
+    for some, ids in ((docs.where("doc_id < 3"), {1, 2}), (docs.where("doc_id <> 2"), {1, 3})):
+        assert {r["id"] for r in op4.near_duplicates(some.coalesce(1)).collect()} == ids
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(200):
