@@ -1,9 +1,14 @@
-"""Licence scan: cosine of licence statements to templates, then inheritance down directories.
+"""Licence scan: cosine of licence texts and statements to templates, then inheritance down directories.
 
 Every sentence or line of every file is a sparse TF-IDF vector and is compared with each template; the
 best one from a threshold on is the file's own licence. A file without one takes that of the licence
 file in its nearest ancestor directory, found by joins on paths. SQL functions only.
 
+Before that, the head of every file and the whole of a licence file are searched for an SPDX line, for
+a standard header or the beginning of a licence text (windows of a template's length, as sets of terms,
+by cosine), and for a licence's title on a line of its own. What is found there goes before a sentence, and
+any named licence before "All rights reserved.".
+
 Inverse document frequencies of the templates' terms are counted over all files; any other term weighs
 as one that no file has. A sentence is looked at only if it has one of the templates' heavy terms: by the
 Cauchy-Schwarz inequality, the light ones alone can't reach the threshold.
@@ -19,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import keep, scratch_dir, table
+from strata.llm.licence_texts import TEXTS
 
 # Short statements by which public licences are declared.
 TEMPLATES = {
@@ -35,6 +41,26 @@ TEMPLATES = {
     "proprietary": "All rights reserved.",
 }
 THRESHOLD = 0.7
+#: Characters of a file that is no licence file in which headers are looked for.
+HEAD = 4096
+#: Words that licence texts are not compared by.
+STOP = frozenset("a all an and any are as at be by for in is it its not of on or shall that the this to which with you".split())
+#: A name that no named licence loses to.
+UNNAMED = "proprietary"
+SPDX = r"SPDX-License-Identifier:[\x20\t(]*([A-Za-z0-9][A-Za-z0-9.-]*)"
+#: Titles that stand on lines of their own, in lower case.
+TITLES = {
+    "MIT": r"(?:the )?mit licen[cs]e(?: \(mit\))?",
+    "ISC": r"(?:the )?isc licen[cs]e(?: \(isc\))?",
+    "BSD-2-Clause": r"(?:the )?bsd 2-clause licen[cs]e",
+    "BSD-3-Clause": r"(?:the )?bsd 3-clause licen[cs]e",
+    "Apache-2.0": r"apache license,?\s+version 2\.0(?:, january 2004)?",
+    "GPL-2.0": r"gnu general public license,?\s+version 2(?:, june 1991)?",
+    "GPL-3.0": r"gnu general public license,?\s+version 3(?:, 29 june 2007)?",
+    "LGPL-3.0": r"gnu lesser general public license,?\s+version 3(?:, 29 june 2007)?",
+    "AGPL-3.0": r"gnu affero general public license,?\s+version 3(?:, 19 november 2007)?",
+    "MPL-2.0": r"mozilla public license,?\s+version 2\.0",
+}
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -95,10 +121,64 @@ def _scores(words: Column, w: Weights) -> Column:
     return F.aggregate(F.array(*options), F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("licence")), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
 
 
+def _found_texts(words: Column, texts: list[tuple[str, str]], count: dict[str, int], n: int, threshold: float) -> Column:
+    """(score, licence) of the best window of ``words`` for one of the texts, or null below ``threshold``.
+
+    Terms count once and without STOP. By the Cauchy-Schwarz inequality, no window reaches the threshold
+    if the terms of the template that the file has weigh too little; only other templates' windows are made.
+    Of several templates that reach it, the one counts of which the most is there and the least is missing.
+    """
+    kinds = [(name, sorted({t for t in terms_of(x) if t not in STOP}), len(terms_of(x))) for name, x in texts]
+    idf = {t: math.log((1 + n) / (1 + count.get(t, 0))) + 1 for _, own, _ in kinds for t in own}
+    square = F.create_map(*[F.lit(x) for t, v in sorted(idf.items()) for x in (t, v * v)])
+    other = F.lit((math.log(1 + n) + 1) ** 2)
+    mass = lambda a: F.aggregate(a, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(square, t), other))
+    stop = F.array(*map(F.lit, sorted(STOP)))
+    heavy, options = set(), []
+    for name, own, wide in kinds:
+        whole, light = sum(idf[t] ** 2 for t in own), 0.0
+        for t in sorted(own, key=lambda t: (idf[t], t)):
+            light += idf[t] ** 2
+            if light >= threshold**2 * whole * 0.999:
+                heavy.add(t)
+        options.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, own)).alias("own"), F.lit(whole).alias("whole"), F.lit(wide).alias("wide")))
+    likely = F.filter(F.array(*options), lambda t: mass(F.array_intersect(t["own"], words)) >= threshold**2 * 0.999 * t["whole"])
+
+    def score(t, at):
+        window = F.array_except(F.slice(words, at, t["wide"]), stop)
+        return F.coalesce(F.round(mass(F.array_intersect(window, t["own"])) / F.sqrt(F.nullif(mass(window), F.lit(0.0)) * t["whole"]), 6), F.lit(0.0))
+
+    starts = lambda t: F.sequence(F.lit(1), F.greatest(F.size(words) - t["wide"] + 1, F.lit(1)) + F.floor(t["wide"] / 8).cast("int"), F.floor(t["wide"] / 8).cast("int"))
+    tops = F.transform(likely, lambda t: F.struct(t.alias("t"), F.array_max(F.transform(starts(t), lambda at: F.struct(score(t, at).alias("score"), at.alias("at")))).alias("m")))
+
+    def gain(t, at):  # around the best window, which may be off by a step
+        step = F.floor(t["wide"] / 8).cast("int")
+        near = F.slice(words, F.greatest(at - step, F.lit(1)), t["wide"] + 2 * step)
+        return F.round(2 * mass(F.array_intersect(near, t["own"])) - t["whole"], 6)
+
+    reached = F.filter(tops, lambda x: x["m"]["score"] >= threshold)
+    best = F.array_max(F.transform(reached, lambda x: F.struct(gain(x["t"], x["m"]["at"]).alias("gain"), x["m"]["score"].alias("score"), x["t"]["name"].alias("licence"))))
+    found = F.transform(F.array(best), lambda b: F.when(b.isNotNull(), F.struct(b["score"].alias("score"), b["licence"].alias("licence"))))
+    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, sorted(heavy)))), F.get(found, F.lit(0)))
+
+
+def _marked(text: Column) -> tuple[Column, Column]:
+    """(score, licence) of an SPDX line and of a title, or null."""
+    tag = F.regexp_replace(F.regexp_extract(text, SPDX, 1), "-(only|or-later)$|[.]$", "")
+    low = F.translate(text, _UPPER, _LOWER)
+    title = F.lit(None).cast("string")
+    for name, r in reversed(TITLES.items()):
+        title = F.when(low.rlike(rf"(?m)^[^a-z0-9\n]*{r}[^a-z0-9\n]*$"), name).otherwise(title)
+    one = lambda name: F.struct(F.lit(1.0).alias("score"), name.alias("licence"))
+    return F.when(text.contains("SPDX-License-Identifier:") & (tag != ""), one(tag)), F.when(low.rlike("licen[cs]e") & title.isNotNull(), one(title))
+
+
 def scan_licences(files: DataFrame, text: str = "text", path: str = "path", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, license_file: str = LICENSE_FILE) -> DataFrame:
     """All columns of ``files`` and own_licence, own_score (0 without one), licence (own or inherited),
     licence_from (the directory it is inherited from, else null).
 
+    A file's own licence is that of an SPDX line (of an expression the first), else of a licence text or
+    header, else of a title, else of a statement; without a path only the head is searched for the first three. Texts and headers need THRESHOLD at least.
     A path's directories end at each ``/``; the root is ``''``. Of several licence files in a directory
     the one of the smallest path counts, of several statements in a file the best, the first name
     on a tie. Null and empty texts have no licence of their own; null paths inherit nothing. Columns of
@@ -108,14 +188,20 @@ def scan_licences(files: DataFrame, text: str = "text", path: str = "path", temp
     base = files.drop("own_licence", "own_score", "licence", "licence_from", "_path", "_text", "_dir")
     names = base.columns
     base = base.withColumns({"_path": F.col(path), "_text": F.coalesce(F.col(text), F.lit(""))})
-    count, n = template_counts(F.col("_text"), base.select("_text"), templates)
+    known = {**templates, **{f"text {i}": t for i, (_, t) in enumerate(TEXTS)}}
+    count, n = template_counts(F.col("_text"), base.select("_text"), known)
     w = Weights(templates, count, n)
     pattern = r"(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, w.heavy(threshold))) + ")(?![a-z0-9])"
     able = F.filter(sentences(F.col("_text")), lambda s: s.rlike(pattern))
     scored = F.transform(able, lambda s: _scores(terms(s), w))
-    best = F.aggregate(scored, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("licence")), lambda a, b: F.when((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["licence"] < a["licence"])), b).otherwise(a))
+    rank = lambda x: x["score"] + F.when((x["score"] >= threshold) & (x["licence"] != UNNAMED), 1.0).otherwise(0.0)
+    best = F.aggregate(scored, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("licence")), lambda a, b: F.when((rank(b) > rank(a)) | ((rank(b) == rank(a)) & (b["licence"] < a["licence"])), b).otherwise(a))
     none = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("licence"))
-    marked = base.withColumn("_best", F.when(F.col("_text").rlike(pattern), best).otherwise(none))
+    name = F.regexp_extract("_path", "([^/]*)$", 1)
+    head = F.when(name.rlike(license_file), F.col("_text")).otherwise(F.substring("_text", 1, HEAD))
+    tag, title = _marked(head)
+    stated = F.when(F.col("_text").rlike(pattern), best).otherwise(none)
+    marked = base.withColumn("_best", F.coalesce(tag, _found_texts(terms(head), TEXTS, count, n, max(threshold, THRESHOLD)), title, stated))
     marked = marked.withColumns({
         "own_licence": F.when(F.col("_best.score") >= threshold, F.col("_best.licence")),
         "own_score": F.when(F.col("_best.score") >= threshold, F.col("_best.score")).otherwise(0.0),
@@ -124,7 +210,6 @@ def scan_licences(files: DataFrame, text: str = "text", path: str = "path", temp
     marked = keep(marked.drop("_best", "_text"), where, "own") if text not in names else marked.drop("_best", "_text")
     # from here on only paths and licences: a pass of its own over the small columns
     small = keep(marked.select("_path", "_dir", "own_licence"), where, "paths")
-    name = F.regexp_extract("_path", "([^/]*)$", 1)
     licensed = small.where(name.rlike(license_file) & F.col("own_licence").isNotNull() & F.col("_path").isNotNull())
     licensed = keep(licensed.groupBy("_dir").agg(F.min(F.struct("_path", "own_licence"))["own_licence"].alias("inherited")), where, "licensed")
     dirs = small.where("own_licence is null and _dir is not null").select("_dir").distinct()

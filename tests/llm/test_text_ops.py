@@ -15,6 +15,7 @@ from strata.llm import op3_language as op3
 from strata.llm import op7_license as op7
 from strata.llm import op9_toxicity as op9
 from strata.llm.common import fold, table
+from strata.llm.licence_texts import TEXTS
 
 PYTHON = re.compile("Python|Pandas|Arrow|ExistingRDD")
 
@@ -129,6 +130,25 @@ def test_licences(spark, edge, none):
     assert op7.scan_licences(op7.document_files(edge)).count() == edge.count()
 
 
+def test_licence_texts_headers_and_tags(spark):
+    texts = dict(reversed(TEXTS))  # of several texts of a name the first: the header
+    comment = lambda t, mark: "\n".join(f"{mark} {' '.join(t.split()[i : i + 9])}" for i in range(0, len(t.split()), 9))
+    code = "\n".join(f"int f{i}(int x{i}) {{ return x{i} + {i}; }}" for i in range(80))
+    files, want = [], []
+    for name, text in TEXTS:
+        files.append(f"Copyright (c) 2020 Some Body. All rights reserved.\n\n{text}\n\nSome more of it follows here.")
+        want.append(name)
+    for name in ("Apache-2.0", "GPL-3.0", "GPL-2.0", "MPL-2.0", "BSD-3-Clause", "MIT", "AGPL-3.0", "LGPL-3.0"):
+        files.append(comment(f"some.c - Copyright 2020 Some Body. {texts[name]}", " *") + "\n" + code)
+        want.append(name)
+    for text, name in [("// SPDX-License-Identifier: MIT\n" + code, "MIT"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("MIT License\n\nCopyright (c) 2020 X", "MIT"), ("   Apache License\n   Version 2.0, January 2004\n", "Apache-2.0"), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GPL-3.0"), ("All rights reserved.\nIt was released under the MIT License.", "MIT"), ("All rights reserved.", "proprietary"), (code, None)]:
+        files.append(text)
+        want.append(name)
+    rows = [(i, f"d{i}/LICENSE" if i < len(TEXTS) else f"d{i}/a.c", t) for i, t in enumerate(files)] + [(1000 + i, f"p{i}/a.txt", f"plain words {i} of prose that have nothing to do with it") for i in range(200)]
+    got = {r["id"]: r["own_licence"] for r in op7.scan_licences(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(want))] == want and not any(got[1000 + i] for i in range(200))
+
+
 def test_licence_scores_by_hand(spark):
     texts = ["Released under the MIT License.", "it was released under the licence of MIT", "all the rights were reserved", "under the version of the public license"]
     files = spark.createDataFrame([(f"{i}", t) for i, t in enumerate(texts)], "path string, text string")
