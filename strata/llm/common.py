@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.storage import keep, scratch_dir, ship
+from strata.storage import folders_made, keep, release, scratch_dir, ship
 
-__all__ = ["bounded_batches", "chunks", "fold", "keep", "lean_worker", "scratch_dir", "table", "text_buffers"]
+__all__ = ["bounded_batches", "chunks", "fold", "folders_made", "keep", "lean_worker", "release", "scratch_dir", "table", "text_buffers"]
 
 #: Bytes of text that one vectorised step works on (a longer text is a step of its own).
 CHUNK_BYTES = 1 << 20

@@ -71,6 +71,45 @@ def test_jaccard_equals_brute_force(spark, seed, few, percent):
     assert got == {i: (sizes[i], comps[i]) for i in range(len(texts))}
 
 
+def boilerplate(seed, n=36):
+    """Sets that consist for the most part of passages that many share, with more or less of their own."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    common = [[word() for _ in range(rng.choice([20, 30, 44]))] for _ in range(3)]
+    out = []
+    for _ in range(n):
+        t = sum(rng.sample(common, rng.randint(1, 3)), [])
+        t = t[rng.randint(0, 6) : len(t) - rng.randint(0, 6)]
+        for _ in range(rng.randint(0, 12)):
+            t.insert(rng.choice([0, len(t)]), word())
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("seed,few,bits", [(1, 1, 64), (3, 2, 3)])
+def test_sets_of_common_shingles(spark, monkeypatch, seed, few, bits):
+    """Prefixes are lengthened to the whole sets, whose costly shingles decide; with 3 bits, hashes clash."""
+    monkeypatch.setattr(op4, "BLOCK", 16)
+    ran = []
+    alone = op4._Join.costly_alone
+    monkeypatch.setattr(op4._Join, "costly_alone", lambda self, c: (ran.append(1), alone(self, c)))
+    texts = boilerplate(seed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sizes, comps = components_of(texts)
+    assert 3 < len(set(comps)) < 34
+    got = {r["id"]: (r["n"], r["component_id"]) for r in op4.near_duplicates(docs, few=few, bits=bits).collect()}
+    assert got == {i: (sizes[i], comps[i]) for i in range(len(texts))} and ran
+
+
+def test_one_of_each(spark, edge, none):
+    body, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61))
+    rows = [(5, body, 1), (5, body, 2), (5, "something else that is of the same id", 3), (None, near, 4), (None, near, 5), (7, near, 6), (8, "", 7), (8, "", 8), (None, None, 9), (9, "alone", 10), (3, "alone", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in op4.one_of_each(docs).collect())
+    assert got == sorted([(5, body), (5, "something else that is of the same id"), (8, ""), (8, ""), (0, ""), (3, "alone")])
+    assert op4.one_of_each(edge).columns == edge.columns and op4.one_of_each(none).count() == 0
+
+
 def test_jaccard_edges(spark, edge, none):
     got = sorted(((r["id"], r["n"], r["component_id"]) for r in op4.near_duplicates(edge).collect()), key=str)
     assert Counter(r[0] for r in got) == Counter(r["doc_id"] for r in edge.collect())
