@@ -2,31 +2,84 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes the shuffle files of a statement when it ends, instead of when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders that this driver has made and not released.
+_made: dict[str, SparkSession] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names no folder is one chosen here (a local session, as in tests).
+    Only a local session may leave that setting out; anywhere else it is an error, since executors would
+    write to folders that nobody else can read. What is not released before goes when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else os.path.join(tempfile.gettempdir(), "strata-checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        if found.isDefined():
+            base = found.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = os.path.join(tempfile.gettempdir(), "strata-checkpoints")
+        else:
+            raise RuntimeError("spark.checkpoint.dir: name a folder that driver and executors share")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_at_end)
+    _made[path] = spark
+    return path
 
 
 def keep(df: DataFrame, where: str, name: str) -> DataFrame:
-    """Write ``df`` below ``where`` and read it back. Lineage ends here, and a lost executor costs nothing."""
-    path = f"{where}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` below ``where`` and read it back. Lineage ends here, and a lost executor costs nothing;
+    the shuffle files that made the table go with the end of the write."""
+    path, spark = f"{where}/{name}", df.sparkSession
+    with _setting(spark, _CLEANUP, "true"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder or a table in it; nothing that reads it may be used after this."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made.pop(path, None)
+
+
+@contextlib.contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """A list that gets the scratch folders made within the block when it ends."""
+    before, out = set(_made), []
+    try:
+        yield out
+    finally:
+        out.extend(p for p in _made if p not in before)
+
+
+def _at_end() -> None:
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):  # the session may be gone by now
+            release(spark, path)
 
 
 def ship(spark: SparkSession) -> None:
