@@ -25,7 +25,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-BYTE = _table(256, 0x51)
+BYTE, BYTE2 = _table(256, 0x51), _table(256, 0x1D3)
 #: Odd factors of the words of a shingle, then a mark for shorter sequences.
 WORD = _table(16, 0x77) | _U(1)
 BASE = 0x9E3779B97F4A7C15
@@ -46,12 +46,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["q"]
 
 
-def prefix(buf: np.ndarray, start: int = 0) -> np.ndarray:
+def prefix(buf: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
     """Prefix hashes of length len(buf) + 1."""
     p, _ = powers(len(buf))
     out = np.empty(len(buf) + 1, dtype=_U)
     out[0] = 0
-    np.cumsum(BYTE[buf] * p[: len(buf)], out=out[1:])
+    np.cumsum(table[buf] * p[: len(buf)], out=out[1:])
     return out
 
 

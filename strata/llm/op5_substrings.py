@@ -5,14 +5,17 @@ Which strings can repeat is narrowed down first, then decided by a suffix sort:
 1. Each window of SPAN bytes has an anchor: the first of its k-grams of the least hash. It depends on
    the window's bytes alone, so equal windows have equal anchors at equal offsets. Neighbouring windows
    with one anchor occurrence are a run; a run is a row.
-2. Rows meet by the anchor's hash. An anchor that occurs once ends there. Runs with equal bytes (128
-   bits of hash over at most 336 bytes) repeat as a whole; each task sends one row for each of them.
+2. Rows meet by anchor and run. Runs with equal bytes (128 bits of hash over at most 336 bytes) repeat as
+   a whole; each task sends one row for each of them. Then different runs are counted by anchor, and one
+   that is alone with its anchor ends there.
 3. What is left, runs whose bytes differ although the anchor is shared, is suffix-sorted: rightwards
    from the anchor and leftwards on the reversed text, by mergesort. Two suffixes are compared by their
    common extension, which binary search finds on prefix polynomial hashes. For a window that begins d
    bytes before the anchor, the rows that share SPAN - d bytes to the right are a run of the first
    order, those that share d bytes to the left a run of the second; two rows in the same pair of runs
    have that window in common. Extensions of neighbours are verified byte by byte.
+4. An anchor with over HOT different runs would be too much for one task. Its windows are rows of their
+   own, which meet by 128 bits of their hash, counted within tasks first.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import hashing
-from strata.llm.common import bounded_batches, chunks, keep, scratch_dir, table, text_buffers
+from strata.llm.common import bounded_batches, chunks, keep, release, scratch_dir, table, text_buffers
 
 SPAN = 200
 KGRAM = 64
@@ -33,9 +36,8 @@ KGRAM = 64
 PART = 1 << 22
 #: Rows of a task that are looked at together for equal runs, before the rest is sent.
 LOCAL_ROWS = 1 << 19
-#: Different runs of one anchor beyond which they are dealt out by the offset of their windows.
+#: Different runs of one anchor that are sorted together; beyond it, its windows are dealt out.
 HOT = 512
-OFFSETS = 8
 _POSITION = np.uint64((1 << 24) - 1)
 _DONE, _ONE, _MANY, _ASK, _SHOW = 0, 1, 2, 3, 4  # kinds of rows
 
@@ -243,97 +245,100 @@ def _emit_runs(span: int, kgram: int):
     return run
 
 
-def _settle(hot: int):
-    """Rows arrive sorted by anchor and run. Settles equal runs, and marks which of the others are to
-    be sorted: _ASK for those in question, _SHOW for one of each settled run beside them."""
+def _settle(batches):
+    """Rows arrive sorted by anchor and run. Equal runs are settled; of what is left, _ASK is a run in
+    question, _SHOW one of each settled run, which may share windows with others of its anchor."""
+    held: pa.Table | None = None
+    opened = None  # an anchor and run of which rows have gone out already
+
+    def out(c, rows, kind):
+        return _batch([np.full(len(rows), kind, np.int8), *(c[n][rows] for n in _ROW[1:])])
+
+    def settle(t: pa.Table):
+        c = {n: t.column(n).to_numpy() for n in _ROW}
+        done = c["kind"] == _DONE
+        if done.any():
+            yield out(c, np.flatnonzero(done), _DONE)
+        at = np.flatnonzero(~done)
+        if not len(at):
+            return
+        anchor, own, kind = c["anchor"][at], c["run"][at], c["kind"][at]
+        new = np.append(True, (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]))
+        which = np.cumsum(new) - 1
+        many = np.bincount(which, weights=kind == _MANY) + np.bincount(which) > 1
+        if opened == (anchor[0], own[0]):
+            many[0], new[0] = True, False
+        settled = many[which]
+        yield out(c, at[settled & (kind == _ONE)], _DONE)
+        yield out(c, at[~settled], _ASK)
+        yield out(c, at[settled & new], _SHOW)
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        if not held.num_rows:
+            continue
+        anchor, own = held.column("anchor").to_numpy(), held.column("run").to_numpy()
+        other = np.flatnonzero((anchor != anchor[-1]) | (own != own[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut == 0 and len(anchor) >= LOCAL_ROWS:  # one run all through
+            cut = len(anchor)
+        if cut:
+            yield from settle(held.slice(0, cut))
+            opened = (anchor[cut - 1], own[cut - 1])
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield from settle(held)
 
-    def run(batches):
-        held: pa.Table | None = None
-        opened = None  # an anchor of which rows have gone out already
-
-        def settle(t: pa.Table, known):  # an anchor that is cut is hot in all its slices, whatever each holds
-            c = {n: t.column(n).to_numpy() for n in _ROW}
-            done = c["kind"] == _DONE
-            if done.any():
-                yield _out(c, np.flatnonzero(done), _DONE, 0)
-            at = np.flatnonzero(~done)
-            if not len(at):
-                return
-            anchor, own, kind = c["anchor"][at], c["run"][at], c["kind"][at]
-            new_anchor = np.append(True, anchor[1:] != anchor[:-1])
-            new_run = new_anchor | np.append(True, own[1:] != own[:-1])
-            which = np.cumsum(new_run) - 1
-            many = np.bincount(which, weights=kind == _MANY) + np.bincount(which) > 1
-            per_anchor = np.bincount((np.cumsum(new_anchor) - 1)[new_run])
-            others = per_anchor[np.cumsum(new_anchor) - 1]
-            if known is not None:
-                others = np.where(anchor == known, hot + 1, others)
-            settled = many[which]
-            yield _out(c, at[settled & (kind == _ONE)], _DONE, 0)
-            for flag, big in ((0, (others > 1) & (others <= hot)), (1, others > hot)):
-                yield _out(c, at[~settled & big], _ASK, flag)
-                yield _out(c, at[settled & new_run & big], _SHOW, flag)
-
-        def _out(c, rows, kind, flag):
-            return _batch([np.full(len(rows), kind, np.int8), c["anchor"][rows], np.full(len(rows), flag, np.int64), *(c[n][rows] for n in _ROW[3:])])
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            anchor = held.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            whole = cut > 0
-            if cut == 0 and len(anchor) >= LOCAL_ROWS:  # one anchor all through: let whole runs go
-                own = held.column("run").to_numpy()
-                cut = int(np.flatnonzero(own != own[-1])[-1] + 1) if (own != own[-1]).any() else 0
-            if cut:
-                opened = opened if whole else anchor[-1]
-                yield from settle(held.slice(0, cut), opened)
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield from settle(held, opened)
-
-    return run
+_CUT = "anchor long, other long, kind byte, key long, size int, lo int, left int, bytes binary"
 
 
 def _cut_out(span: int):
-    """Bytes of the runs in question: (anchor, salt, kind, key, size, first window, left, bytes)."""
+    """Bytes of the runs in question, and of hot anchors a row for each window (two hashes; left is -1)."""
 
     def run(batches):
         for batch in batches:
             buf, off = text_buffers(batch.column("text"))
             asked = batch.column("asked")
             flat, ends = asked.flatten(), asked.offsets.to_numpy()
-            c = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("kind", "anchor", "flag", "lo", "hi", "at")}
+            c = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("kind", "anchor", "hot", "lo", "hi", "at")}
             doc = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             c = {n: v[: len(doc)] for n, v in c.items()}
-            rows = [(c["anchor"], np.full(len(doc), -1), c["kind"], doc, c["lo"], c["hi"], c["at"])]
-            hot = c["flag"] == 1
-            if hot.any():  # windows of other offsets never meet, so they can be apart
-                rows = [tuple(v[~hot] for v in rows[0])]
-                h = np.flatnonzero(hot)
-                for s in range(0, span, OFFSETS):
-                    lo, hi = np.maximum(c["lo"][h], c["at"][h] - s - OFFSETS + 1), np.minimum(c["hi"][h], c["at"][h] - s)
-                    ok = lo <= hi
-                    rows.append((c["anchor"][h][ok], np.full(ok.sum(), s), c["kind"][h][ok], doc[h][ok], lo[ok], hi[ok], c["at"][h][ok]))
-            anchor, salt, kind, doc, lo, hi, at = (np.concatenate(v) for v in zip(*rows, strict=True))
             keys, sizes = batch.column("key").to_numpy(zero_copy_only=False), np.diff(off)
-            for s in range(0, len(doc), 8192):
-                e = slice(s, s + 8192)
-                texts = [buf[off[d] + a : off[d] + b + span].tobytes() for d, a, b in zip(doc[e], lo[e], hi[e], strict=True)]
-                columns = [pa.array(anchor[e]), pa.array(salt[e].astype(np.int32)), pa.array(kind[e].astype(np.int8)), pa.array(keys[doc[e]]), pa.array(sizes[doc[e]].astype(np.int32)), pa.array(lo[e].astype(np.int32)), pa.array((at - lo)[e].astype(np.int32)), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "salt", "kind", "key", "size", "lo", "left", "bytes"])
+
+            def out(anchor, other, kind, doc, lo, left, texts):
+                columns = [anchor, other, kind.astype(np.int8), keys[doc], sizes[doc].astype(np.int32), lo.astype(np.int32), left.astype(np.int32)]
+                return pa.RecordBatch.from_arrays([*map(pa.array, columns), texts], [x.split()[0] for x in _CUT.split(", ")])
+
+            for hot in (False, True):
+                rows = np.flatnonzero(c["hot"] == hot)
+                for s in range(0, len(rows), 4096):
+                    e = rows[s : s + 4096]
+                    d, kind, anchor = doc[e], c["kind"][e], c["anchor"][e]
+                    lo, hi, at = (c[n][e].astype(np.int64) for n in ("lo", "hi", "at"))
+                    texts = [buf[off[q] + a : off[q] + b + span] for q, a, b in zip(d, lo, hi, strict=True)]
+                    if not hot:
+                        yield out(anchor, np.zeros(len(e), dtype=np.int64), kind, d, lo, at - lo, pa.array([x.tobytes() for x in texts], pa.binary()))
+                        continue
+                    whole, n = np.concatenate(texts), hi - lo + 1
+                    begin = np.append(0, np.cumsum(n + span - 1))[:-1]
+                    row = np.repeat(np.arange(len(e)), n)
+                    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    first = begin[row] + step
+                    one, two = (hashing.mix(hashing.spans(hashing.prefix(whole, t), first, first + span)).view(np.int64) for t in (hashing.BYTE, hashing.BYTE2))
+                    yield out(one, two, kind[row], d[row], lo[row] + step, np.full(len(row), -1), pa.nulls(len(row), pa.binary()))
 
     return run
 
 
 def _sort_runs(span: int):
-    """Rows arrive sorted by anchor and salt; whole groups are sorted together."""
+    """Rows arrive sorted by anchor; whole anchors, of HOT runs at most, are sorted together."""
 
     def block(t: pa.Table):
         buf, off = text_buffers(t.column("bytes"))
-        anchor, salt = t.column("anchor").to_numpy(), t.column("salt").to_numpy()
-        group = np.cumsum(np.append(True, (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])))
+        anchor = t.column("anchor").to_numpy()
+        group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1]))
         lo, left = t.column("lo").to_numpy().astype(np.int64), t.column("left").to_numpy().astype(np.int64)
         row, window = shared_windows(buf, off[:-1], np.diff(off), left, group, span)
         ask = t.column("kind").to_numpy()[row] == _ASK
@@ -349,8 +354,8 @@ def _sort_runs(span: int):
             held = t if held is None else pa.concat_tables([held, t])
             if held.num_rows < 20_000:
                 continue
-            anchor, salt = held.column("anchor").to_numpy(), held.column("salt").to_numpy()
-            other = np.flatnonzero((anchor != anchor[-1]) | (salt != salt[-1]))
+            anchor = held.column("anchor").to_numpy()
+            other = np.flatnonzero(anchor != anchor[-1])
             if len(other):
                 yield block(held.slice(0, other[-1] + 1))
                 held = held.slice(other[-1] + 1)
@@ -362,16 +367,26 @@ def _sort_runs(span: int):
 
 def repeated_spans(keyed: DataFrame, span: int = SPAN, kgram: int = KGRAM, hot: int = HOT) -> DataFrame:
     """(key, size, lo, hi): the windows lo..hi of each text that occur elsewhere. ``keyed``: key, size, text."""
-    where = scratch_dir(keyed.sparkSession)
+    spark, where = keyed.sparkSession, scratch_dir(keyed.sparkSession)
     rows = keyed.where(F.col("size") >= span).select("key", "text").mapInArrow(_emit_runs(span, kgram), _SCHEMA)
-    settled = keep(rows.repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(_settle(hot), _SCHEMA), where, "settled")
-    asked = settled.where(F.col("kind") != _DONE).groupBy("key", "size").agg(F.collect_list(F.struct("kind", "anchor", F.col("run").alias("flag"), "lo", "hi", "at")).alias("asked"))
+    settled = keep(rows.repartition("anchor", "run").sortWithinPartitions("anchor", "run").mapInArrow(_settle, _SCHEMA), where, "settled")
+    done = keep(settled.where(F.col("kind") == _DONE).select("key", "size", "lo", "hi"), where, "done")
+    left = settled.where(F.col("kind") != _DONE)
+    shared = keep(left.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), where, "shared")
+    left = left.join(shared, "anchor").withColumn("hot", F.col("n") > hot)
+    asked = keep(left.groupBy("key", "size").agg(F.collect_list(F.struct("kind", "anchor", "hot", "lo", "hi", "at")).alias("asked")), where, "asked")
+    release(spark, f"{where}/settled")
     # rows with one key and size are equal texts with one id: each asks, one is enough
-    texts = keyed.join(asked, ["key", "size"]).select("key", "text", "asked")
-    cut = texts.mapInArrow(_cut_out(span), "anchor long, salt int, kind byte, key long, size int, lo int, left int, bytes binary")
-    found = cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sort_runs(span), _SCHEMA)
-    found = keep(found.select("key", "size", "lo", "hi"), where, "found")
-    return settled.where(F.col("kind") == _DONE).select("key", "size", "lo", "hi").unionByName(found)
+    cut = keep(keyed.join(asked, ["key", "size"]).select("key", "text", "asked").mapInArrow(_cut_out(span), _CUT), where, "cut")
+    release(spark, f"{where}/asked")
+    sorted_ = cut.where("left >= 0").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_runs(span), _SCHEMA)
+    found = keep(sorted_.select("key", "size", "lo", "hi"), where, "found")
+    windows = cut.where("left < 0")
+    twice = windows.groupBy("anchor", "other").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "other")
+    spread = windows.where(F.col("kind") == _ASK).join(twice, ["anchor", "other"]).select("key", "size", "lo", F.col("lo").alias("hi"))
+    spread = keep(spread, where, "spread")
+    release(spark, f"{where}/cut")
+    return done.unionByName(found).unionByName(spread)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN, kgram: int = KGRAM) -> DataFrame:
