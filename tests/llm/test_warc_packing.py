@@ -3,10 +3,12 @@
 import gzip
 import hashlib
 import io
+import os
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strata.llm import op6_warc as op6
 from strata.llm import op10_packing as op10
@@ -89,10 +91,71 @@ def test_packing_edges(spark, edge, none):
     docs = edge.where("doc_id is not null").dropDuplicates(["doc_id"])
     assert check([(r["doc_id"], r["text"]) for r in docs.collect()], op10.pack(docs).collect()) < 0.05
     assert op10.pack(edge).where("start = 0").count() == edge.count() and op10.pack(none).count() == 0
-    few = op10.pack_documents(docs, tokenizers.path("byte_bpe_50k.json"), tokens=64, segments=2, loss=50, pool=8)
+    rows = docs.select("doc_id", "text", F.lit(True).alias("bears"))
+    few = op10.pack_examples(rows, ["doc_id"], tokenizers.path("byte_bpe_50k.json"), tokens=64, segments=2, loss=50, pool=8)
     check([(r["doc_id"], r["text"]) for r in docs.collect()], few.collect(), 64, 2, 50)
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t"])
+def test_long_white_space(spark, space):
+    docs = spark.createDataFrame([(1, "a" + space * 2_000_000 + "b"), (2, "c")], "doc_id long, text string")
+    got = op10.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).orderBy("doc_id").collect()
+    slow = op10.tokenizer(tokenizers.path("byte_bpe_50k.json"))
+    assert [r["n"] for r in got] == [len(slow("a" + space * 2_000_000 + "b")) + 1, 2]
+
+
+def test_hardly_a_sequence_is_not_full(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    n = op10.query(spark, sf).groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    r = n.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") < 2048, F.col("n")).otherwise(0)).alias("part"), F.count_if(F.expr("n & (n - 1) <> 0")).alias("padded")).first()
+    assert r["part"] < 0.02 * r["all"] and r["padded"] == 0
+
+
+def test_instruction_data(spark, sf):
+    """All three limits bind, and each id of each turn is in one piece."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    pieces = op10.pack_turns(turns, segments=12, loss=900).collect()
+    encode = op10.tokenizer(tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r["length"] for r in pieces) == sum(len(encode(r["text"] or "")) + 1 for r in turns.collect())
+    sums = {}
+    for r in pieces:
+        t = sums.setdefault(r["sequence_id"], [0, 0, 0])
+        t[0], t[1], t[2] = t[0] + r["length"], t[1] + 1, t[2] + r["loss_tokens"]
+    top = [max(x) for x in zip(*sums.values())]
+    assert top[0] <= 2048 and top[1] == 12 and 890 <= top[2] <= 900 and len(sums) > 10
+    role = {(r["conv_id"], r["turn"]): r["role"] for r in turns.collect()}
+    assert all(r["loss_tokens"] == (r["length"] - (r["start"] == 0) if role[r["conv_id"], r["turn"]] == "assistant" else 0) for r in pieces)
+
+
+def test_bins_beside_the_best(seed=5):
+    """Exhaustive packing of few examples needs hardly fewer bins."""
+    rng = np.random.default_rng(seed)
+    more = 0
+    for _ in range(40):
+        sizes = np.stack([rng.integers(1, 100, 7), rng.integers(1, 4, 7), rng.integers(0, 70, 7)], axis=1)
+        limit, best = np.array((100, 6, 70)), 7
+
+        def place(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(sizes):
+                best = len(bins)
+                return
+            for i in range(len(bins)):
+                if (bins[i] + sizes[k] <= limit).all():
+                    place(k + 1, [*bins[:i], bins[i] + sizes[k], *bins[i + 1 :]])
+            place(k + 1, [*bins, sizes[k]])
+
+        place(0, [])
+        found = len(op10.pack_vectors(sizes, limit)[0])
+        assert best <= found <= best + 1
+        more += found > best
+    assert more <= 12
+
+
 def test_both_encoders_agree():
     slow, fast = op10.tokenizer(tokenizers.path("byte_bpe_50k.json")), op10.tokenizer(tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"))
     for t in ("", "a", "<|endoftext|> x\n\n  y", "déjà \U0001f600 ' 's 12345\t", "\u3000\x85  z"):
