@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.storage import folders_made, keep, release, scratch_dir, ship
 
-__all__ = ["bounded_batches", "chunks", "fold", "folders_made", "keep", "lean_worker", "release", "scratch_dir", "table", "text_buffers"]
+__all__ = ["bounded_batches", "chunks", "fold", "folders_made", "keep", "lean_worker", "release", "scratch_dir", "table", "text_buffers", "text_hashes"]
 
 #: Bytes of text that one vectorised step works on (a longer text is a step of its own).
 CHUNK_BYTES = 1 << 20
@@ -50,6 +50,11 @@ def fold(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3, F.lit(0))
 
 
+def text_hashes(text: Column) -> list[Column]:
+    """Two hashes that tell texts apart together."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
 def text_buffers(column: pa.Array):
     """(uint8 data, int64 offsets) of a string column; nulls are empty texts."""
     import numpy as np

@@ -1,12 +1,14 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every word n-gram of an item is a seed. Where a document has one, the passage around it is aligned with
-the item, word by word, so that edited and paraphrased copies score too: a match gives 2, a replaced,
-missing or added word costs 1, and the score is the share of what the whole item would give.
+Every word n-gram of an item is a seed. Training texts meet items by a join on seeds; a bitmap of fixed
+size keeps n-grams that are certainly no seed out of it. Around each meeting point, the passage of the text is
+aligned with the item, word by word, so that edited and paraphrased copies score too: a match gives 2, a
+replaced, missing or added word costs 1, and the score is the share of what the whole item would give.
 
 A passage reaches as far as any alignment through its seed that has the least score, and it is left out
 only if too few of the item's words occur in it for that score. So each alignment of the least score
-that keeps n words of the item in a row is found; one that keeps no n in a row is not.
+that keeps n words of the item in a row is found; one that keeps no n in a row is not. Equal texts are
+aligned once.
 """
 
 from __future__ import annotations
@@ -17,17 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import hashing
-from strata.llm.common import bounded_batches, chunks, table, text_buffers
+from strata.llm.common import bounded_batches, chunks, keep, release, scratch_dir, table, text_buffers, text_hashes
 
 GRAM = 3
 MIN_SCORE = 0.5
 MATCH, COST = 2, 1
-#: Bytes of the items that are sent to tasks at once; more items are done in blocks.
-BLOCK_BYTES = 4 << 20
-#: Cells of one alignment step.
-CELLS = 1 << 18
-#: Seeds of items, and words of passages, that are looked at together.
-ROWS = 1 << 18
+#: Bits of the bitmap of seeds (8 MB), whatever their number; where it is crowded, the join has more rows.
+BITS = 1 << 26
+#: Cells of one alignment step, and words of passages that are counted together.
+CELLS, ROWS = 1 << 18, 1 << 18
+#: Texts that a task remembers, so that copies of them are looked up once.
+SEEN = 1 << 17
+#: Meeting points that may be broadcast (24 bytes each); more of them are shuffled, and the texts with them.
+SMALL = 1 << 18
 #: A-Z as a-z, every other ASCII byte that is no letter or digit as a space.
 _PLAIN = np.array([c if c >= 128 or chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], dtype=np.uint8)
 
@@ -42,33 +46,14 @@ def word_ids(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashing.word_hashes(low, starts, ends), first
 
 
-class Items:
-    """Words and n-grams of a block of items."""
-
-    def __init__(self, ids: list, texts: list[str | None], gram: int = GRAM):
-        data = [(t or "").encode() for t in texts]
-        off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-        words, first = word_ids(np.frombuffer(b"".join(data), dtype=np.uint8), off)
-        self.ids, self.words, self.first, self.gram = ids, words, first, gram
-        item = np.repeat(np.arange(len(ids)), np.diff(first))
-        g = hashing.grams(words, gram)
-        at = np.flatnonzero(np.append(item[gram - 1 :] == item[: len(item) - gram + 1], np.zeros(min(gram - 1, len(item)), dtype=bool))) if len(item) >= gram else np.zeros(0, dtype=np.int64)
-        self.seed, self.item, self.place = g[at], item[at], at - first[item[at]]
-        order = np.lexsort((self.place, self.item, self.seed))
-        self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
-        self.distinct, self.begin = np.unique(self.seed, return_index=True)
-        self.end = np.append(self.begin[1:], len(self.seed))
-
-    def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, index of distinct) wherever a document has one of the n-grams."""
-        if len(words) < self.gram or not len(self.distinct):
-            none = np.zeros(0, dtype=np.int64)
-            return none, none
-        g = hashing.grams(words, self.gram)[: len(words) - self.gram + 1]
-        at = np.searchsorted(self.distinct, g)
-        at[at == len(self.distinct)] = 0
-        word = np.flatnonzero((self.distinct[at] == g) & (doc[: len(g)] == doc[self.gram - 1 :]))
-        return word, at[word]
+def grams_at(words: np.ndarray, first: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram, text, place in it) of all texts."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    if len(words) < gram:
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none, none
+    at = np.flatnonzero(doc[gram - 1 :] == doc[: len(doc) - gram + 1])
+    return hashing.grams(words, gram)[at], doc[at], at - first[doc[at]]
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,101 +84,143 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, last
 
 
-def _slices(doc: np.ndarray, count: np.ndarray):
-    """Ranges of hits with about ROWS seeds together: whole documents, or parts of one that has more."""
-    total = np.append(0, np.cumsum(count))
-    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)) if len(doc) else doc
-    i = 0
-    while i < len(doc):
-        fits = int(np.searchsorted(total, total[i] + ROWS, side="right")) - 1
-        whole = int(np.searchsorted(ends, fits, side="right")) - 1
-        j = int(ends[whole]) if whole >= 0 and ends[whole] > i else max(fits, i + 1)
-        yield i, j
-        i = j
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(which part, value) of all values."""
+    return np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
-def _able(items: Items, words: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, min_score: float) -> np.ndarray:
+def able(items: list[np.ndarray], passages: list[np.ndarray], min_score: float) -> np.ndarray:
     """Passages that hold enough of their item's words for ``min_score``."""
-    size, wide = np.diff(items.first)[item], end - begin
-    out = np.zeros(len(item), dtype=bool)
-    total = np.append(0, np.cumsum(size + wide))
-    k = 0
-    while k < len(item):
+    out, k = np.zeros(len(items), dtype=bool), 0
+    total = np.append(0, np.cumsum([len(x) + len(y) for x, y in zip(items, passages, strict=True)]))
+    while k < len(items):
         e = max(int(np.searchsorted(total, total[k] + ROWS, side="right")) - 1, k + 1)
-
-        def keys(of, first, n):
-            which = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
-            return which, of[at] + which.astype(np.uint64) * np.uint64(hashing.BASE)
-
-        which, own = keys(items.words, items.first[item[k:e]], size[k:e])
-        held = np.isin(own, keys(words, begin[k:e], wide[k:e])[1])
-        out[k:e] = np.bincount(which, weights=held, minlength=e - k) >= min_score * size[k:e] - 1e-9
+        (which, own), (where, words) = _flat(items[k:e]), _flat(passages[k:e])
+        key = lambda i, w: w + i.astype(np.uint64) * np.uint64(hashing.BASE)
+        held = np.isin(key(which, own), key(where, words))
+        size = np.array([len(x) for x in items[k:e]])
+        out[k:e] = np.bincount(which, weights=held, minlength=e - k) >= min_score * size - 1e-9
         k = e
     return out
 
 
-def find_leaks(items: Items, words: np.ndarray, first: np.ndarray, min_score: float) -> dict[int, list[tuple[int, float, int]]]:
-    """{document: [(item, score, last word)]}, the best alignment of each item from ``min_score`` on."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    word, which = items.hits(words, doc)
-    count = items.end[which] - items.begin[which]
-    out: dict[int, dict[int, tuple[float, int]]] = {}
-    for i, j in _slices(doc[word], count):
-        _align_hits(items, words, first, min_score, doc[word[i:j]], word[i:j], which[i:j], count[i:j], out)
-    return {q: [(i, *v) for i, v in sorted(got.items())] for q, got in out.items()}
-
-
-def _align_hits(items: Items, words: np.ndarray, first: np.ndarray, min_score: float, doc: np.ndarray, word: np.ndarray, which: np.ndarray, count: np.ndarray, out: dict[int, dict[int, tuple[float, int]]]) -> None:
-    """Aligns the passages around the hits; ``out`` keeps each item's best alignment in each document."""
-    row = np.repeat(np.arange(len(word)), count)
-    entry = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + items.begin[which][row]
-    d, item, start = doc[row], items.item[entry], word[row] - items.place[entry]
-    # hits of one item that place it about equally are one passage
-    order = np.lexsort((start, item, d))
-    d, item, start = d[order], item[order], start[order]
-    size = np.diff(items.first)[item]
-    near = (d[1:] == d[:-1]) & (item[1:] == item[:-1]) & (start[1:] - start[:-1] <= np.maximum(size[1:] // 2, 8)) if len(d) else np.zeros(0, dtype=bool)
-    head = np.flatnonzero(np.append(True, ~near)) if len(d) else np.zeros(0, dtype=np.int64)
-    tail = np.append(head[1:], len(d)) - 1 if len(d) else head
+def passages(item: np.ndarray, size: np.ndarray, start: np.ndarray, n: int, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the item, begin, end) of the passages of a text of n words. ``start``: where a seed places its
+    item, of ``size`` words; places of one item that are about equal are one passage."""
+    order = np.lexsort((start, item))
+    item, size, start = item[order], size[order], start[order]
+    near = (item[1:] == item[:-1]) & (start[1:] - start[:-1] <= np.maximum(size[1:] // 2, 8))
+    head = np.flatnonzero(np.append(True, ~near)) if len(item) else np.zeros(0, dtype=np.int64)
+    tail = np.append(head[1:], len(item)) - 1 if len(item) else head
     # as many words can be added at most, all on one side of the hit
     pad = np.maximum(np.ceil(MATCH * (1 - min_score) / COST * size[head]).astype(np.int64), 8)
-    begin = np.maximum(start[head] - pad, first[d[head]])
-    end = np.minimum(start[tail] + size[head] + pad, first[d[head] + 1])
-    able = _able(items, words, item[head], begin, end, min_score)
-    head, begin, end = head[able], begin[able], end[able]
-    k = 0
-    while k < len(head):
-        e, widest_a, widest_b = k, 0, 0
-        while e < len(head):
-            widest_a, widest_b = max(widest_a, int(size[head[e]])), max(widest_b, int(end[e] - begin[e]))
-            if e > k and (e - k + 1) * (widest_a + widest_b) > CELLS:
+    return order[head], np.maximum(start[head] - pad, 0), np.minimum(start[tail] + size[head] + pad, n)
+
+
+def align_all(items: list[np.ndarray], texts: list[np.ndarray], min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, score, last word of the passage) of the pairs from ``min_score`` on."""
+    rows = np.flatnonzero(able(items, texts, min_score))
+    kept, shares, ends, k = [], [], [], 0
+    while k < len(rows):
+        e, a, b = k, 0, 0
+        while e < len(rows):
+            a, b = max(a, len(items[rows[e]])), max(b, len(texts[rows[e]]))
+            if e > k and (e - k + 1) * (a + b) > CELLS:
                 break
             e += 1
-        a = [items.words[items.first[i] : items.first[i + 1]] for i in item[head[k:e]]]
-        b = [words[x:y] for x, y in zip(begin[k:e], end[k:e], strict=True)]
-        score, last = align(a, b)
-        share = score / (MATCH * np.maximum(size[head[k:e]], 1))
-        for r in np.flatnonzero(share >= min_score):
-            q, i = int(d[head[k + r]]), int(item[head[k + r]])
-            got = out.setdefault(q, {})
-            if i not in got or got[i][0] < share[r]:
-                got[i] = (float(share[r]), int(begin[k + r] + last[r] - first[q]))
+        own = rows[k:e]
+        score, last = align([items[r] for r in own], [texts[r] for r in own])
+        share = score / (MATCH * np.maximum([len(items[r]) for r in own], 1))
+        ok = share >= min_score
+        kept.append(own[ok])
+        shares.append(share[ok])
+        ends.append(last[ok])
         k = e
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(kept), np.concatenate(shares), np.concatenate(ends)) if kept else (none, none.astype(float), none)
+
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
+
+
+_SEEDS, _WORDS, _HITS = "seed long, item long, place int, size int", "item long, own binary", "seed long, t1 long, t2 long, pos int"
+_PASSAGES, _FOUND = "t1 long, t2 long, item long, begin int, words binary", "t1 long, t2 long, item long, score double, last long"
+
+
+def _each(batch: pa.RecordBatch):
+    buf, off = text_buffers(batch.column("text"))
+    for i, j in chunks(off):
+        yield i, j, *word_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def _seeds(gram: int):
+    def run(batches):
+        for batch in batches:
+            item = batch.column("item").to_numpy()
+            for i, _, words, first in _each(batch):
+                g, doc, place = grams_at(words, first, gram)
+                yield _batch([g.view(np.int64), item[i + doc], place.astype(np.int32), np.diff(first)[doc].astype(np.int32)], _SEEDS)
+
+    return run
+
+
+def _item_words(batches):
+    for batch in batches:
+        item = batch.column("item").to_numpy()
+        for i, j, words, first in _each(batch):
+            yield _batch([item[i:j], pa.array([words[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], _WORDS)
+
+
+def _hits(gram: int, sent):
+    def run(batches):
+        seen: set = set()
+        for batch in batches:
+            t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
+            for i, j, words, first in _each(batch):
+                fresh = np.zeros(j - i, dtype=bool)
+                for d in range(i, j):
+                    if (t1[d], t2[d]) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add((t1[d], t2[d]))
+                        fresh[d - i] = True
+                g, doc, place = grams_at(words, first, gram)
+                bit = g & np.uint64(BITS - 1)
+                hit = np.flatnonzero((sent.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0) & fresh[doc])
+                yield _batch([g[hit].view(np.int64), t1[i + doc[hit]], t2[i + doc[hit]], place[hit].astype(np.int32)], _HITS)
+
+    return run
+
+
+def _passages(min_score: float):
+    def run(batches):
+        for batch in batches:
+            t1, t2, met = batch.column("t1").to_numpy(), batch.column("t2").to_numpy(), batch.column("met")
+            flat, ends = met.flatten(), met.offsets.to_numpy() - met.offsets.to_numpy()[0]
+            item, size, start = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("item", "size", "start"))
+            for i, j, words, first in _each(batch):
+                for d in range(i, j):
+                    s, own = slice(ends[d], ends[d + 1]), words[first[d - i] : first[d - i + 1]]
+                    row, begin, end = passages(item[s], size[s], start[s], len(own), min_score)
+                    for k in range(0, len(row), 4096):
+                        e = slice(k, k + 4096)
+                        texts = pa.array([own[a:b].tobytes() for a, b in zip(begin[e], end[e], strict=True)], pa.binary())
+                        n = len(row[e])
+                        yield _batch([np.full(n, t1[d]), np.full(n, t2[d]), item[s][row[e]], begin[e].astype(np.int32), texts], _PASSAGES)
+
+    return run
+
 
+def _aligned(min_score: float):
+    def run(batches):
+        for batch in batches:
+            ids = lambda c: [np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()]
+            row, score, last = align_all(ids("own"), ids("words"), min_score)
+            column = lambda c: batch.column(c).to_numpy()[row]
+            yield _batch([column("t1"), column("t2"), column("item"), score, column("begin") + last], _FOUND)
 
-def _blocks(items: DataFrame, item_key: str, text: str):
-    """The items in blocks of about BLOCK_BYTES, read one partition at a time."""
-    ids, texts, size = [], [], 0
-    for r in items.select(item_key, text).where(F.col(text).isNotNull()).distinct().orderBy(item_key, text).toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        size += len(r[1].encode())
-        if size >= BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+    return run
 
 
 def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", gram: int = GRAM, min_score: float = MIN_SCORE) -> DataFrame:
@@ -201,39 +228,41 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
 
     Null and empty texts have no leaks; null and empty items and items of fewer words than ``gram`` are
     never found. Repeated rows are documents of their own, items of equal id are items of their own. A
-    column named ``leaks`` is replaced. A block of items is one pass over the documents.
+    column named ``leaks`` is replaced.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    kind = items.schema[item_key].dataType
-    base = docs.drop("leaks")
-    out, names = base, base.columns
-    marks = []
-    for b, (ids, texts) in enumerate(_blocks(items, item_key, item_text)):
-        seeds = spark.sparkContext.broadcast(Items(ids, texts, gram))
-
-        def find(batches, seeds=seeds, b=b):
-            x = seeds.value
-            for batch in batches:
-                buf, off = text_buffers(batch.column("_text"))
-                leaks: list[list] = [[] for _ in range(batch.num_rows)]
-                for i, j in chunks(off):
-                    words, first = word_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                    for q, found in find_leaks(x, words, first, min_score).items():
-                        leaks[i + q] = [{"item_id": x.ids[k], "score": s, "last_word": w} for k, s, w in found]
-                rest = [batch.column(c) for c in batch.schema.names if c != "_text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(leaks, leak_type)], [*(c for c in batch.schema.names if c != "_text"), f"_leaks{b}"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-        from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
-
-        element = StructType().add("item_id", kind).add("score", DoubleType()).add("last_word", LongType())
-        leak_type = to_arrow_type(ArrayType(element))
-        out = out.withColumn("_text", F.col(text)).mapInArrow(find, out.schema.add(f"_leaks{b}", ArrayType(element)))
-        marks.append(f"_leaks{b}")
-    if not marks:
-        return base.withColumn("leaks", F.array().cast(f"array<struct<item_id:{kind.simpleString()},score:double,last_word:bigint>>"))
-    return out.select(*names, F.flatten(F.array(*marks)).alias("leaks"))
+    where, kind = scratch_dir(spark), items.schema[item_key].dataType.simpleString()
+    known = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
+    known = keep(known.withColumn("item", F.monotonically_increasing_id()), where, "items")
+    seeds = keep(known.select("item", "text").mapInArrow(_seeds(gram), _SEEDS), where, "seeds")
+    # BITS / 64 rows at most
+    word, bit = F.shiftright(F.col("seed").bitwiseAND(BITS - 1), 6).alias("w"), F.expr("shiftleft(1L, cast(seed & 63 as int))")
+    found = seeds.groupBy(word).agg(F.bit_or(bit).alias("v")).toArrow()
+    bits = np.zeros(BITS // 64, dtype=np.int64)
+    bits[found.column("w").to_numpy()] = found.column("v").to_numpy()
+    sent = spark.sparkContext.broadcast(bits.view(np.uint8))
+    out = docs.drop("leaks")
+    texts = out.select(F.col(text).alias("text"), *text_hashes(F.col(text))).where("text is not null")
+    hits = texts.mapInArrow(_hits(gram, sent), _HITS)
+    met = hits.join(seeds, "seed").select("t1", "t2", "item", "size", (F.col("pos") - F.col("place")).alias("start")).distinct()
+    met = keep(met, where, "met")
+    lists = met.groupBy("t1", "t2").agg(F.collect_list(F.struct("item", "size", "start")).alias("met"))
+    held = texts.join(F.broadcast(lists) if met.count() <= SMALL else lists, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
+    parts = held.select("t1", "t2", "met", "text").mapInArrow(_passages(min_score), _PASSAGES)
+    own = keep(known.select("item", "text").mapInArrow(_item_words, _WORDS), where, "words")
+    aligned = parts.join(own, "item").select("t1", "t2", "item", "begin", "words", "own").mapInArrow(_aligned(min_score), _FOUND)
+    best = aligned.groupBy("t1", "t2", "item").agg(F.max(F.struct("score", (-F.col("last")).alias("m"))).alias("b"))
+    leaks = best.join(known.select("item", "item_id"), "item").select("t1", "t2", F.struct("item_id", "b.score", (-F.col("b.m")).alias("last_word")).alias("l"))
+    leaks = keep(leaks.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("l")).alias("_leaks")), where, "leaks")
+    for name in ("seeds", "met", "words", "items"):
+        release(spark, f"{where}/{name}")
+    names = out.columns
+    h1, h2 = text_hashes(F.col(text))
+    leaks = leaks.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_leaks")
+    empty = F.array().cast(f"array<struct<item_id:{kind},score:double,last_word:bigint>>")
+    joined = out.withColumns({"_h1": h1, "_h2": h2}).join(leaks, (F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2")), "left")
+    return joined.select(*[F.col(f"`{n}`") for n in names], F.coalesce("_leaks", empty).alias("leaks"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

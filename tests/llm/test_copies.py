@@ -291,43 +291,73 @@ def test_decontamination(spark, edge, none, monkeypatch):
     b = spark.createDataFrame([(k, ", ".join(x)) for k, x in enumerate(items)] + [(90, None), (91, ""), (92, "two words")], "item_id long, text string")
     found = lambda: {(r["doc_id"], r["l"]["item_id"]) for r in op8.mark_leaks(d, b).select("doc_id", F.explode("leaks").alias("l")).collect()}
     assert found() == want
-    monkeypatch.setattr(op8, "BLOCK_BYTES", 300)  # several blocks of items
+    monkeypatch.setattr(op8, "BITS", 64)  # a bitmap that lets everything pass
+    monkeypatch.setattr(op8, "SMALL", 0)  # and texts are shuffled
     assert found() == want
     assert op8.mark_leaks(edge, b).count() == edge.count() and op8.mark_leaks(none, b).count() == 0
     assert op8.mark_leaks(edge, b.where("false")).where("size(leaks) > 0").count() == 0
 
 
-@pytest.mark.parametrize("n,share", [(40, 0.2), (40, 0.25), (40, 0.3), (100, 0.2), (100, 0.3)])
-def test_replaced_words_equal_brute_force(monkeypatch, n, share):
-    """An exact copy beside each edited one, as it was before; few rows at once change nothing."""
-    rng = np.random.default_rng(n + int(100 * share))
-    texts = [[f"v{w}" for w in rng.integers(0, 3000, n)] for _ in range(60)]
-    items = op8.Items(list(range(60)), [" ".join(t) for t in texts])
-    docs = [" ".join(t) for t in texts]
-    for t in texts:
-        copy = [f"u{i}" if r < share else w for i, (w, r) in enumerate(zip(t, rng.random(n)))]
-        docs.append(" ".join([f"x{i}" for i in range(50)] + copy + [f"y{i}" for i in range(50)]))
-    data = [d.encode() for d in docs]
+def words_of(texts):
+    data = [d.encode() for d in texts]
     words, first = op8.word_ids(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]))
+    return [words[a:b] for a, b in zip(first[:-1], first[1:])]
+
+
+def leaks_of(spark, texts, items):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = op8.mark_leaks(d, b).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*").collect()
+    return {(r["doc_id"], r["item_id"]): (r["score"], r["last_word"]) for r in rows}
+
+
+def test_replaced_words_equal_brute_force(spark):
+    """An exact copy beside each edited one; every pair of item and text is aligned whole."""
+    rng = np.random.default_rng(8)
+    items, docs = [], []
+    for n, share in ((40, 0.2), (40, 0.25), (40, 0.3), (100, 0.2), (100, 0.3)):
+        for _ in range(24):
+            t = [f"v{w}" for w in rng.integers(0, 3000, n)]
+            copy = [f"u{i}" if r < share else w for i, (w, r) in enumerate(zip(t, rng.random(n)))]
+            items.append(" ".join(t))
+            docs += [" ".join(t), " ".join([f"x{i}" for i in range(50)] + copy + [f"y{i}" for i in range(50)])]
+    a, b = words_of(items), words_of(docs)
     want = {}
-    for q in range(len(docs)):
-        i = q % 60
-        score, _ = op8.align([items.words[items.first[i] : items.first[i + 1]]], [words[first[q] : first[q + 1]]])
-        if score[0] >= 2 * n * 0.5:
-            want[q, i] = score[0] / (2 * n)
-    assert sum(q >= 60 for q, _ in want) > 30
-    for rows in (op8.ROWS, 50):
-        monkeypatch.setattr(op8, "ROWS", rows)
-        assert {(q, i): s for q, found in op8.find_leaks(items, words, first, 0.5).items() for i, s, _ in found} == want
-
-
-def test_added_words_on_one_side():
+    for i in range(len(items)):
+        score, _ = op8.align([a[i]] * len(b), b)
+        want |= {(q, i): s / (2 * len(a[i])) for q, s in enumerate(score) if s >= len(a[i])}
+    assert sum(q % 2 for q, _ in want) > 60
+    assert {k: v[0] for k, v in leaks_of(spark, docs, items).items()} == want
+
+
+def test_items_that_share_seeds(spark):
+    """Thousands of items of one beginning, in texts that hold it and one of them whole."""
+    common = [f"c{i}" for i in range(10)]
+    items = [" ".join(common + [f"i{k}w{i}" for i in range(25)]) for k in range(1500)]
+    docs = [" ".join(common + ["z"] * 9), items[3], "x y " + items[700] + " z", items[3]]
+    assert set(leaks_of(spark, docs, items)) == {(1, 3), (2, 700), (3, 3)}
+
+
+def test_recall_against_exhaustive_alignment(spark, sf):
+    """All texts of up to 600 words against all items, aligned whole."""
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()]
+    docs = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    a = words_of(items)
+    b = [(q, w) for q, w in enumerate(words_of(docs)) if len(w) <= 600]
+    want = set()
+    for i, x in enumerate(a):
+        for k in range(0, len(b), 100):
+            score, _ = op8.align([x] * len(b[k : k + 100]), [w for _, w in b[k : k + 100]])
+            want |= {(b[k + r][0], i) for r in np.flatnonzero(score >= len(x))}
+    short = {q for q, _ in b}
+    found = {k for k in leaks_of(spark, docs, items) if k[0] in short}
+    assert len(want) >= 10 and found <= want and len(found) >= 0.95 * len(want)
+
+
+def test_added_words_on_one_side(spark):
     item = [f"v{i}" for i in range(40)]
     text = item[:3] + [w for v in item[3:] for w in (v, "x")]
-    items = op8.Items([0], [" ".join(item)])
-    data = " ".join(text).encode()
-    words, first = op8.word_ids(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
-    assert op8.find_leaks(items, words, first, 0.5) == {0: [(0, (80 - 36) / 80, len(text) - 2)]}
+    assert leaks_of(spark, [" ".join(text)], [" ".join(item)]) == {(0, 0): ((80 - 36) / 80, len(text) - 2)}
 
 
 def test_pipeline(spark, sf, tmp_path):
