@@ -13,7 +13,7 @@ __all__ = ["bounded_batches", "chunks", "fold", "folders_made", "keep", "lean_wo
 #: Bytes of text that one vectorised step works on (a longer text is a step of its own).
 CHUNK_BYTES = 1 << 20
 #: Bytes of one Arrow batch sent to a Python worker.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
