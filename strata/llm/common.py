@@ -11,7 +11,7 @@ from strata.storage import folders_made, keep, release, scratch_dir, ship
 __all__ = ["bounded_batches", "chunks", "fold", "folders_made", "keep", "lean_worker", "release", "scratch_dir", "table", "text_buffers", "text_hashes"]
 
 #: Bytes of text that one vectorised step works on (a longer text is a step of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Bytes of one Arrow batch sent to a Python worker.
 BATCH_BYTES = "4m"
 
