@@ -18,6 +18,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
+    """(time of change, bytes) of a table: another one means that what was made from it is stale."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return found.getModificationTime(), found.getLen()
+
+
 def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, v, line_no, key_ln, line, truth_v) of fixture A."""
     base = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "txt"))

@@ -27,7 +27,7 @@ class Run:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Run:
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, *(fx.state(spark, sf_dir, t) for t in ("orders", "lineitem")))
         if key not in _runs:
             _runs.clear()
             _runs[key] = cls(spark, sf_dir)
@@ -84,6 +84,11 @@ class Run:
         return self.planner().spans(self.table("requests")).drop("span")
 
 
+def forget() -> None:
+    """Drop what queries have made for each other."""
+    _runs.clear()
+
+
 def _named(df: DataFrame) -> DataFrame:
     """Keys by their names in SQL."""
     return df.withColumnsRenamed({"commit": "c", "path": "p"})

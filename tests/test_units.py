@@ -120,6 +120,32 @@ def test_lcs_is_longest(a, b):
     assert len(pairs) == best[-1][-1]
 
 
+@given(st.lists(st.integers(0, 6), max_size=40), st.lists(st.integers(0, 6), max_size=40), st.integers(0, 4))
+@settings(max_examples=300, deadline=None)
+def test_lcs_in_linear_space(a, b, edits):
+    size = len(diff.lcs(a, b))
+    before, diff.EDITS = diff.EDITS, edits
+    try:
+        pairs = diff.lcs(a, b)
+    finally:
+        diff.EDITS = before
+    assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:])) and len(pairs) == size
+
+
+def test_large_files():
+    """A rewritten file, and one of which the lines are in another order, in bounded memory."""
+    import tracemalloc
+
+    a = [f"line {i}" for i in range(20000)]
+    moved = a[:3000]
+    random.Random(1).shuffle(moved)
+    tracemalloc.start()
+    assert diff.lcs(a, [f"other {i}" for i in range(20000)]) == []
+    assert len(diff.lcs(a[:3000], moved)) > 80
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_patch_applies(spark):
     """A patch's lines and headers are those of a unified diff with three lines of context."""
     rng, rows = random.Random(3), []
