@@ -33,11 +33,13 @@ from strata.llm.common import bounded_batches, chunks, keep, release, scratch_di
 SPAN = 200
 KGRAM = 64
 #: Bytes of a document that are hashed at once; longer documents are done in parts that overlap.
-PART = 1 << 22
+PART = 1 << 20
 #: Rows of a task that are looked at together for equal runs, before the rest is sent.
 LOCAL_ROWS = 1 << 19
 #: Different runs of one anchor that are sorted together; beyond it, its windows are dealt out.
 HOT = 512
+#: Runs in question that are cut out at once, and those of hot anchors, which are up to 137 windows each.
+CUT_ROWS, CUT_HOT = 4096, 512
 _POSITION = np.uint64((1 << 24) - 1)
 _DONE, _ONE, _MANY, _ASK, _SHOW = 0, 1, 2, 3, 4  # kinds of rows
 
@@ -312,9 +314,9 @@ def _cut_out(span: int):
                 return pa.RecordBatch.from_arrays([*map(pa.array, columns), texts], [x.split()[0] for x in _CUT.split(", ")])
 
             for hot in (False, True):
-                rows = np.flatnonzero(c["hot"] == hot)
-                for s in range(0, len(rows), 4096):
-                    e = rows[s : s + 4096]
+                rows, most = np.flatnonzero(c["hot"] == hot), CUT_HOT if hot else CUT_ROWS
+                for s in range(0, len(rows), most):
+                    e = rows[s : s + most]
                     d, kind, anchor = doc[e], c["kind"][e], c["anchor"][e]
                     lo, hi, at = (c[n][e].astype(np.int64) for n in ("lo", "hi", "at"))
                     texts = [buf[off[q] + a : off[q] + b + span] for q, a, b in zip(d, lo, hi, strict=True)]
