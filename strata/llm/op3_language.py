@@ -107,15 +107,20 @@ def train(count: np.ndarray, labels: list[str], k: int = CENTROIDS, rounds: int
     return model
 
 
-def sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """The rows of the ``most`` smallest hashes of ``key``; only hashes are sorted, not rows."""
-    h = F.xxhash64(F.col(key).cast("string"))
-    cut = rows.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return rows.where(F.lit(False) if cut is None else h <= cut)
+def sample(rows: DataFrame, key: str, most: int, text: str | None = None) -> DataFrame:
+    """The ``most`` rows of the smallest hashes of ``key``, where those tie of ``text``; only hashes are sorted,
+    not rows. Of rows that are equal in both, no more are taken than there is room for."""
+    h, t = F.xxhash64(F.col(key).cast("string")), F.xxhash64(F.lit(7), F.col(text)) if text else F.lit(0).cast("long")
+    least = rows.select(h.alias("h"), t.alias("t")).orderBy("h", "t").limit(most)
+    last = least.groupBy("h", "t").agg(F.count("*").alias("n")).orderBy(F.desc("h"), F.desc("t")).first()
+    if last is None:
+        return rows.where(F.lit(False))
+    under = rows.where((h < last["h"]) | ((h == last["h"]) & (t < last["t"])))
+    return under.unionByName(rows.where((h == last["h"]) & (t == last["t"])).limit(last["n"]))
 
 
 def fit(docs: DataFrame, train_rows: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = FIT_ROWS) -> Model:
-    """Fit on at most ``most`` rows (more only where ids tie) that ``train_rows`` selects and that have text and a language."""
+    """Fit on at most ``most`` rows that ``train_rows`` selects and that have text and a language."""
     rows = docs.where(train_rows & F.col(lang).isNotNull() & F.col(text).isNotNull())
 
     def run(batches):
@@ -125,7 +130,7 @@ def fit(docs: DataFrame, train_rows: Column, text: str = "text", lang: str = "la
                 c = counts(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array([x.astype(np.uint16 if x.max() < 65536 else np.uint32).astype(np.float32).tobytes() for x in c], pa.binary())], ["lang", "counts"])
 
-    found = sample(rows, key, most).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, counts binary").toArrow()
+    found = sample(rows, key, most, text).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, counts binary").toArrow()
     raw = found.column("counts").to_pylist()
     count = np.frombuffer(b"".join(raw), dtype=np.float32).reshape(-1, DIMENSIONS)
     labels = found.column("lang").to_pylist()

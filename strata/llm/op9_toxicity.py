@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, text: str = "tex
 
     toxic = sample(marked.where(F.col(label) == 1).select(key).distinct(), key, positives)
     full = docs.where(train_rows & F.col(text).isNotNull())
-    return train(rows(full.join(F.broadcast(toxic), key, "left_semi")), rows(sample(full, key, unlabelled)), prior)
+    found = full.join(F.broadcast(toxic), key, "left_semi")
+    return train(rows(sample(found, key, positives, text)), rows(sample(full, key, unlabelled, text)), prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

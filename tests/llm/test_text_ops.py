@@ -110,6 +110,15 @@ def test_language(spark, sf, edge, none):
     assert far["rejected"]
 
 
+def test_samples_are_bounded_where_ids_tie(spark):
+    rows = spark.createDataFrame([(None if i % 2 else 7, f"text {i % 50}") for i in range(400)], "doc_id long, text string").repartition(5)
+    for most in (1, 30, 130, 400, 500):
+        got = [sorted(map(tuple, op3.sample(rows.repartition(n), "doc_id", most, "text").collect()), key=str) for n in (2, 7)]
+        assert len(got[0]) == min(most, 400) and got[0] == got[1]
+    assert op3.sample(rows.where("false"), "doc_id", 5, "text").isEmpty()
+    assert op3.sample(rows, "doc_id", 0, "text").isEmpty()
+
+
 def test_plain_letters():
     text = ["ÀÉ x!!  y\n", "", "12 Ça"]
     data = "".join(text).encode()
