@@ -13,6 +13,8 @@ from strata.llm import (
     op8_decontaminate,
     op9_toxicity,
     op10_packing,
+    op11_hmm,
+    op12_whitening,
 )
 
 
@@ -28,6 +30,8 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate.query,
         "op9_toxicity": op9_toxicity.query,
         "op10_packing": op10_packing.query,
+        "op11_hmm": op11_hmm.query,
+        "op12_whitening": op12_whitening.query,
     }
 
 
