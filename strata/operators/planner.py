@@ -7,6 +7,7 @@ the parents' events by path, and the events' hunks by an interval condition besi
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -88,15 +89,25 @@ def _next(path, s, e) -> list[Column]:
     return [(none if c is None else c).cast(t).alias(n) for c, t, n in ((path, "string", "next_path"), (s, "long", "next_s"), (e, "long", "next_e"))]
 
 
+@dataclass
+class Trace:
+    """What a traversal found: requests (KEY, depth), their spans (with depth and cutoff) and their edges."""
+
+    requests: DataFrame
+    spans: DataFrame
+    edges: DataFrame
+
+
 class Planner:
     """The tables that a traversal reads, and its bounds.
 
     ``commits``: (commit, committed_on, parents: their number). ``blame``: requests -> spans (KEY, span,
-    blamed, origin_path, origin_start, line_count, final_start).
+    blamed, origin_path, origin_start, line_count, final_start). ``diffs``: commits (commit) -> their first
+    events and their hunks, as ``plan`` takes them; it is asked once a level, for the commits of spans that go on.
     """
 
-    def __init__(self, commits: DataFrame, parents: DataFrame, events: DataFrame, hunks: DataFrame, blame: Callable[[DataFrame], DataFrame], since: Column, max_depth: int, exact_ranges: bool = False):
-        self.commits, self.parents, self.events, self.hunks, self.blame = commits, parents, events, hunks, blame
+    def __init__(self, commits: DataFrame, parents: DataFrame, diffs: Callable[[DataFrame], tuple[DataFrame, DataFrame]], blame: Callable[[DataFrame], DataFrame], since: Column, max_depth: int, exact_ranges: bool = False):
+        self.commits, self.parents, self.diffs, self.blame = commits, parents, diffs, blame
         self.since, self.max_depth, self.exact_ranges = since, max_depth, exact_ranges
 
     def spans(self, requests: DataFrame) -> DataFrame:
@@ -106,27 +117,30 @@ class Planner:
         found = found.join(info, "blamed")
         return found.withColumn("cutoff", cutoff(F.col("parents"), F.col("committed_on"), F.col("depth"), self.since, self.max_depth)).drop("committed_on", "parents")
 
-    def edges(self, requests: DataFrame) -> DataFrame:
-        """All edges of the requests: cutoffs without a parent, then what the planner says."""
-        spans = self.spans(requests)
+    def edges(self, spans: DataFrame) -> DataFrame:
+        """All edges of spans: cutoffs without a parent, then what the planner says."""
         cut = spans.where("cutoff is not null").withColumns({"pos": F.lit(None).cast("int"), "parent": F.lit(None).cast(dict(self.parents.dtypes)["parent"]), "edge_type": F.col("cutoff")})
-        on = plan(spans.where("cutoff is null"), self.parents, self.events, self.hunks, self.exact_ranges)
+        on = spans.where("cutoff is null")
+        events, hunks = self.diffs(on.select(F.col("blamed").alias("commit")).distinct())
+        on = plan(on, self.parents, events, hunks, self.exact_ranges)
         nothing = dict(zip(("next_path", "next_s", "next_e"), _next(None, None, None), strict=True))
         return cut.withColumns(nothing).unionByName(on).drop("cutoff")
 
-    def fixpoint(self, seeds: DataFrame) -> DataFrame:
-        """(KEY, depth) of every request reachable from ``seeds`` (KEY), with the depth it is first seen at.
+    def trace(self, seeds: DataFrame, where: str | None = None) -> Trace:
+        """Follow every request reachable from ``seeds`` (KEY); a request's depth is that it is first seen at.
 
-        A level is a job; the requests of a level are distinct and not among the earlier ones.
+        A level's spans and edges are made once and kept as tables. The requests of the next one are what its
+        edges lead to, distinct and not among the earlier ones. Tables go to ``where``, or to a new scratch folder.
         """
-        where = scratch_dir(seeds.sparkSession)
+        where = where or scratch_dir(seeds.sparkSession)
         level = keep(seeds.select(*KEY).distinct().withColumn("depth", F.lit(0)), where, "level-0")
-        visited = level
-        for depth in range(1, self.max_depth + 1):
-            if level.isEmpty():
+        out: Trace | None = None
+        for depth in range(self.max_depth + 1):
+            if out is not None and level.isEmpty():
                 break
-            on = self.edges(level).where(F.col("edge_type") == RECURSE)
-            new = on.select(F.col("parent").alias("commit"), F.col("next_path").alias("path"), F.col("next_s").alias("s"), F.col("next_e").alias("e")).distinct()
-            level = keep(new.join(visited, KEY, "left_anti").withColumn("depth", F.lit(depth)), where, f"level-{depth}")
-            visited = visited.unionByName(level)
-        return visited
+            spans = keep(self.spans(level), where, f"spans-{depth}")
+            edges = keep(self.edges(spans), where, f"edges-{depth}")
+            out = Trace(level, spans, edges) if out is None else Trace(out.requests.unionByName(level), out.spans.unionByName(spans), out.edges.unionByName(edges))
+            new = edges.where(F.col("edge_type") == RECURSE).select(F.col("parent").alias("commit"), F.col("next_path").alias("path"), F.col("next_s").alias("s"), F.col("next_e").alias("e")).distinct()
+            level = keep(new.join(out.requests, KEY, "left_anti").withColumn("depth", F.lit(depth + 1)), where, f"level-{depth + 1}")
+        return out

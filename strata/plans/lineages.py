@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,9 @@ _runs: dict[tuple, Run] = {}
 class Run:
     """Fixture B's tables and lineage; each part is made once, when first asked for, and kept as a table."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, since: str = fx.SINCE, max_depth: int = fx.MAX_DEPTH, exact_ranges: bool = False):
         self.spark, self.sf_dir, self.where, self.made = spark, sf_dir, scratch_dir(spark), {}
+        self.since, self.max_depth, self.exact_ranges = since, max_depth, exact_ranges
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Run:
@@ -34,6 +36,8 @@ class Run:
         return _runs[key]
 
     def table(self, name: str) -> DataFrame:
+        if name in ("requests", "spans", "edges"):
+            return getattr(self.trace, name).drop("span")
         if name not in self.made:
             self.made[name] = keep(getattr(self, f"_{name}")(), self.where, name)
         return self.made[name]
@@ -67,21 +71,13 @@ class Run:
         return found.select(*KEY, F.struct(*KEY).alias("span"), "blamed", F.col("path").alias("origin_path"), F.col("s").alias("origin_start"), (F.col("e") - F.col("s") + 1).alias("line_count"), F.col("s").alias("final_start"))
 
     def planner(self) -> planner.Planner:
-        return planner.Planner(
-            self.info(),
-            self.table("parents").select(F.col("sha").alias("commit"), "pos", F.col("parent_sha").alias("parent")),
-            self.table("events"),
-            self.table("hunks").select(F.col("sha").alias("commit"), "pos", "new_path", "old_start", "old_lines", "new_start", "new_lines"),
-            self.blame, F.lit(fx.SINCE).cast("date"), fx.MAX_DEPTH)
+        hunks = self.table("hunks").select(F.col("sha").alias("commit"), "pos", "new_path", "old_start", "old_lines", "new_start", "new_lines")
+        parents = self.table("parents").select(F.col("sha").alias("commit"), "pos", F.col("parent_sha").alias("parent"))
+        return planner.Planner(self.info(), parents, lambda commits: (self.table("events"), hunks), self.blame, F.lit(self.since).cast("date"), self.max_depth, self.exact_ranges)
 
-    def _requests(self):
-        return self.planner().fixpoint(self.table("seeds"))
-
-    def _edges(self):
-        return self.planner().edges(self.table("requests")).drop("span")
-
-    def _spans(self):
-        return self.planner().spans(self.table("requests")).drop("span")
+    @cached_property
+    def trace(self) -> planner.Trace:
+        return self.planner().trace(self.table("seeds"), f"{self.where}/trace")
 
 
 def forget() -> None:
@@ -145,7 +141,8 @@ def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the planner says of the seeds."""
     run = Run.of(spark, sf_dir)
-    e = run.planner().edges(run.table("seeds").withColumn("depth", F.lit(0)))
+    p = run.planner()
+    e = p.edges(p.spans(run.table("seeds").withColumn("depth", F.lit(0))))
     return _named(e).withColumnRenamed("parent", "parent_sha").select(*_EDGE)
 
 

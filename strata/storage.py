@@ -18,11 +18,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, SparkSession] = {}
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share.
 
     Only a local session may leave that setting out; anywhere else it is an error, since executors would
-    write to folders that nobody else can read. What is not released before goes when the driver ends.
+    write to folders that nobody else can read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -33,7 +33,12 @@ def scratch_dir(spark: SparkSession) -> str:
             base = os.path.join(tempfile.gettempdir(), "strata-checkpoints")
         else:
             raise RuntimeError("spark.checkpoint.dir: name a folder that driver and executors share")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one. What is not released before goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_at_end)
     _made[path] = spark
