@@ -156,6 +156,24 @@ def blame_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blame.spans(_blamed(spark, sf_dir), ["doc_id"]).select("doc_id", "blamed", "final_start_line", "origin_start_line", "line_count")
 
 
+def history_blame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as ``blame_lines``, by a history of six commits: trees, renames, the general line differ
+    and a blame of the head's files."""
+    from strata.plans.history import History
+    from strata.plans.scope import Scope
+
+    where = scratch_dir(spark)
+    lines = fx.file_lines(spark, sf_dir)
+    files = lines.groupBy("doc_id", "v").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
+    files = keep(files.select(F.col("v").cast("string").alias("commit"), F.col("doc_id").cast("string").alias("path"), F.md5(F.array_join("lines", "\n")).alias("blob"), "lines"), where, "files")
+    parents = F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).otherwise(F.array().cast("array<string>"))
+    commits = spark.range(LAST + 1).select(F.col("id").cast("string").alias("sha"), parents.alias("parents"))
+    h = History.from_trees(commits, files.select("commit", "path", "blob"), files.select("blob", F.lit(False).alias("is_binary"), "lines"))
+    asked = files.where(F.col("commit") == str(LAST)).select("commit", "path", F.lit(1).cast("long").alias("s"), F.size("lines").cast("long").alias("e"))
+    found = Scope(h).blame(asked).select("path", "blamed", "line_count", "origin_start", "final_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("line_count") - 1)).alias("k"))
+    return found.select(F.col("path").cast("long").alias("doc_id"), (F.col("final_start") + F.col("k")).alias("line_no"), F.col("blamed").cast("long").alias("blamed"), (F.col("origin_start") + F.col("k")).alias("origin_line"))
+
+
 def blame_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans cut to a range of each file that depends on its number."""
     found = blame.spans(_blamed(spark, sf_dir), ["doc_id"])
@@ -245,7 +263,7 @@ y as (select o_orderkey, target, case when p <> '' and s >= 1 and e >= s and e <
 z as (select o_orderkey, target, case when ok = 1 then p end as path, case when ok = 1 then s end as start_line, case when ok = 1 then e end as end_line from y)
 """
 
-QUERIES = {f.__name__: f for f in (carried_lines, lcs_diff, edit_script, diff_hunks, patch_text, added_ranges, seed_branch, patch_for_file, patch_by_id, tree_diff, rename_exact, rename_similarity, copy_detect, event_types, blame_lines, blame_spans, blame_clip, parse_target, seed_trace, run_kind)}
+QUERIES = {f.__name__: f for f in (carried_lines, lcs_diff, edit_script, diff_hunks, patch_text, added_ranges, seed_branch, patch_for_file, patch_by_id, tree_diff, rename_exact, rename_similarity, copy_detect, event_types, blame_lines, blame_spans, history_blame, blame_clip, parse_target, seed_trace, run_kind)}
 
 _CARRIED = f"with {fx.A_SQL} select n.doc_id, n.v, n.line_no, o.line_no as parent_line from h_file_lines n join h_file_lines o on o.doc_id = n.doc_id and o.v = n.v - 1 and o.line = n.line"
 ORACLES = {
@@ -274,6 +292,7 @@ ORACLES = {
       case when is_binary and event_type not in ('renamed', 'copied') then 'binary_skipped' else event_type end as stored_type,
       case when is_binary then 'binary_skipped' else event_type end as stored_with_binary, count(*) as n from e group by all""",
     "blame_lines": f"with {_BLAMED} select doc_id, line_no, blamed, origin_line from bl",
+    "history_blame": f"with {_BLAMED} select doc_id, line_no, blamed, origin_line from bl",
     "blame_spans": f"with {_BLAMED} select doc_id, blamed, final_start_line, origin_start_line, line_count from sp",
     "blame_clip": f"""with {_BLAMED}, q as (select doc_id, 1 + doc_id % 7 as start_line, 10 + doc_id % 12 as end_line from documents),
       j as (select q.*, blamed, greatest(start_line, final_start_line) as a, least(end_line + 1, final_start_line + line_count) as b, final_start_line, origin_start_line from q join sp using (doc_id))

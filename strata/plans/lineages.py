@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strata import fixtures as fx
 from strata.functions.summary import summary as run_summary
-from strata.operators import graph, planner, validate
+from strata.operators import chains, graph, planner, temporal, validate
 from strata.schema import RECURSE
 from strata.sources import gitrepo
 from strata.storage import keep, scratch_dir
@@ -60,6 +60,16 @@ class Run:
     def _seeds(self):
         return fx.seeds(self.table("commits"), self.table("hunks"))
 
+    def links(self) -> DataFrame:
+        return self.table("parents").select("sha", F.col("pos").alias("parent_position"), "parent_sha")
+
+    def _chains(self):
+        return chains.chains(self.table("commits").select("sha"), self.links(), f"{self.where}/chain")
+
+    def _places(self):
+        touched = self.table("hunks").where("pos = 0").select(F.col("sha").alias("commit"), F.col("new_path").alias("path"), F.col("sha").alias("blob")).distinct()
+        return temporal.placed(touched, self.table("chains"))
+
     def info(self) -> DataFrame:
         n = self.table("parents").groupBy("sha").agg(F.count("*").alias("np"))
         c = self.table("commits").join(n, "sha", "left")
@@ -117,6 +127,30 @@ def merge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_bases(last["sha"], last["parent_sha"], run.table("parents"))
 
 
+def commit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each commit's chain of first parents and its position there."""
+    return Run.of(spark, sf_dir).table("chains").select("sha", "chain", "pos", "fork")
+
+
+def ancestor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every head, how far its ancestors go on each chain."""
+    run = Run.of(spark, sf_dir)
+    heads = fx.heads(run.table("commits")).select(F.col("sha").alias("root"), "sha")
+    return chains.reach(heads, run.table("chains"), run.links(), f"{run.where}/reach")
+
+
+def tree_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positions of a chain between which a file stays as a commit left it."""
+    return temporal.intervals(Run.of(spark, sf_dir).table("places")).select("chain", "path", F.col("commit").alias("sha"), F.col("begin").alias("begin_pos"), F.col("end").alias("end_pos"))
+
+
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of every commit, and the commit that left each as it is."""
+    run = Run.of(spark, sf_dir)
+    segs = temporal.segments(run.table("commits").select(F.col("sha").alias("commit")), run.table("chains"), f"{run.where}/segments")
+    return temporal.tree_at(segs, temporal.intervals(run.table("places"))).select(F.col("commit").alias("sha"), "path", "at_commit")
+
+
 def classify_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Run.of(spark, sf_dir).info().withColumn("depth", (F.col("commit") % 7).cast("int"))
     c = planner.cutoff(F.col("parents"), F.col("committed_on"), F.col("depth"), F.lit(fx.SINCE).cast("date"), fx.MAX_DEPTH)
@@ -278,19 +312,26 @@ def git_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gitrepo.read(spark, root, "commits")
 
 
-QUERIES = {f.__name__: f for f in (git_source, parents_expand, ancestors, merge_base, classify_cutoff, event_first_match, hunk_overlap, plan_actions, request_fixpoint, lineage_edges, edge_type_counts, spans_without_edges, commits_discovered, dangling_parents, summary, files_touched, ranges_for_file, top_commits, seed_covering_line, lineage_step, lineage_walk, renames_copies, commit_parent_list, file_dossier, validate_fk, validate_unique, validate_enum)}
+QUERIES = {f.__name__: f for f in (git_source, parents_expand, ancestors, merge_base, commit_chains, ancestor_chains, tree_intervals, trees, classify_cutoff, event_first_match, hunk_overlap, plan_actions, request_fixpoint, lineage_edges, edge_type_counts, spans_without_edges, commits_discovered, dangling_parents, summary, files_touched, ranges_for_file, top_commits, seed_covering_line, lineage_step, lineage_walk, renames_copies, commit_parent_list, file_dossier, validate_fk, validate_unique, validate_enum)}
 
 _B, _L = f"with {fx.B_SQL}", f"with recursive {fx.LINEAGE_SQL}"
 _D = "disc as (select blamed as sha from sp union select c from h_seed)"
 _FS = "fs as (select * from h_seed order by c, p, s, e limit 1)"
 _COLUMNS = ", ".join(_EDGE)
 _WALK = """an as (select sha as root, sha as node, 0 as depth from roots union select an.root, p.parent_sha, an.depth + 1 from an join h_commit_parents p on p.sha = an.node)"""
+#: In these tables a chain is an author's commits, and none branches off another.
+_CHAIN = f"""{fx.B_SQL}, ch as (select sha, first_value(sha) over (partition by author order by ord) as chain, row_number() over (partition by author order by ord) - 1 as pos, cast(null as bigint) as fork from h_commits),
+      tc as (select distinct ch.chain, ch.pos, h.new_path as path, ch.sha from h_hunks h join ch on ch.sha = h.sha where h.pos = 0)"""
 ORACLES = {
     "parents_expand": f"{_B} select sha, pos as parent_position, parent_sha from h_commit_parents",
     "ancestors": f"with recursive {fx.B_SQL}, roots as (select sha from h_commits order by ord desc limit 2), {_WALK} select root, node as ancestor, min(depth) as depth from an group by 1, 2",
     "merge_base": f"""with recursive {fx.B_SQL}, last as (select p.sha, p.parent_sha from h_commit_parents p join h_commits c on c.sha = p.sha where p.pos = 1 order by c.ord desc limit 1),
       roots as (select sha from last union select parent_sha from last), an as (select sha as root, sha as node from roots union select an.root, p.parent_sha from an join h_commit_parents p on p.sha = an.node),
       cm as (select node from an group by node having count(distinct root) = 2) select node as sha from cm where node not in (select p.parent_sha from h_commit_parents p join cm on cm.node = p.sha)""",
+    "commit_chains": f"with {_CHAIN} select sha, chain, pos, fork from ch",
+    "ancestor_chains": f"with recursive {_CHAIN}, roots as (select sha from h_head), {_WALK} select an.root, ch.chain, max(ch.pos) as upto from an join ch on ch.sha = an.node group by 1, 2",
+    "tree_intervals": f"with {_CHAIN} select chain, path, sha, pos as begin_pos, lead(pos) over (partition by chain, path order by pos) as end_pos from tc",
+    "trees": f"with {_CHAIN} select c.sha, t.path, t.sha as at_commit from ch c join tc t on t.chain = c.chain and t.pos <= c.pos qualify row_number() over (partition by c.sha, t.path order by t.pos desc) = 1",
     "classify_cutoff": f"""{_B} select c.sha, cast(c.sha % 7 as integer) as depth, case when n.np is null then 'root_commit' when c.committed_on < date '{fx.SINCE}' then 'older_than_since' when c.sha % 7 >= {fx.MAX_DEPTH} then 'max_depth' else 'recurse' end as cutoff
       from h_commits c left join h_np n on n.sha = c.sha""",
     "event_first_match": f"{_B} select b.req_sha, b.path, b.blamed, e.pos, e.parent_sha, e.old_path from h_b b join h_pe e on e.sha = b.blamed and e.new_path = b.path",
