@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
+from functools import wraps
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.storage import folders_made, keep, release, scratch_dir, ship
 
-__all__ = ["bounded_batches", "chunks", "fold", "folders_made", "keep", "lean_worker", "release", "scratch_dir", "table", "text_buffers", "text_hashes"]
+__all__ = ["apart", "bounded_batches", "chunks", "fold", "folders_made", "keep", "lean_worker", "release", "scratch_dir", "table", "text_buffers", "text_hashes"]
 
 #: Bytes of text that one vectorised step works on (a longer text is a step of its own).
 CHUNK_BYTES = 1 << 18
@@ -41,6 +45,29 @@ def lean_worker() -> None:
 _lean: list = []
 
 
+def apart(results: list[str], *parameters: str, fixed: tuple[str, ...] = ()) -> Callable:
+    """For an operator that returns all columns of its first argument and ``results``: within it, the caller's
+    columns have names of ours, so that whatever they are called they clash with nothing the operator uses.
+    ``parameters``: those that name columns; ``fixed``: columns that the operator reads by their own name.
+    A caller's column that is called like a result is replaced by it."""
+
+    def wrap(operator: Callable) -> Callable:
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **more) -> DataFrame:
+            call = inspect.signature(operator).bind(docs, *args, **more)
+            call.apply_defaults()
+            names = {c: c if c in fixed else f"strata_column_{i}" for i, c in enumerate(docs.columns)}
+            call.arguments[next(iter(call.arguments))] = docs.toDF(*names.values())
+            call.arguments.update({p: names.get(call.arguments[p], call.arguments[p]) for p in parameters})
+            found = operator(*call.args, **call.kwargs)
+            own = {new: old for old, new in names.items()}
+            return found.select(*(F.col(f"`{c}`").alias(own.get(c, c)) for c in found.columns if own.get(c) not in results or c in results))
+
+        return run
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import keep, scratch_dir, table
+from strata.llm.common import apart, keep, scratch_dir, table
 
 #: (action, host and path prefix) of the production rules.
 RULES = [
@@ -128,6 +128,7 @@ def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade | No
     return out
 
 
+@apart(["host", "path", "rule", "verdict"], fixed=("url",))
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, blocklist: DataFrame | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """``pages`` (with ``url``) and host, path, rule, verdict (allow or block).
 

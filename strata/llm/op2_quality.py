@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import hashing
-from strata.llm.common import bounded_batches, chunks, keep, scratch_dir, table, text_buffers
+from strata.llm.common import apart, bounded_batches, chunks, keep, scratch_dir, table, text_buffers
 
 #: A line is removed if it is in at least this many documents of its host ...
 MIN_DOCS = 20
@@ -122,6 +122,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_share: float, text: str =
     return sums.join(sizes, "host").where(F.col("docs") >= F.col("of") * min_share).select("host", "line")
 
 
+@apart(["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept", "clean_text"], "text", "host")
 def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, left_share: float = LEFT_SHARE, text: str = "text", host: str = "source") -> DataFrame:
     """All columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_removed_words (long), base_failed, kept (boolean), clean_text (the text without removed lines).

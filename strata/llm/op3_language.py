@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import hashing
-from strata.llm.common import bounded_batches, chunks, fold, table, text_buffers
+from strata.llm.common import apart, bounded_batches, chunks, fold, table, text_buffers
 
 DIMENSIONS = 4096
 SIZES = (2, 3)
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, train_rows: Column, text: str = "text", lang: str = "la
     return train(count[order], [labels[i] for i in order])
 
 
+@apart(["lang_pred", "score", "rejected"], "text")
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and lang_pred string, score double, rejected boolean.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import hashing
-from strata.llm.common import bounded_batches, chunks, keep, release, scratch_dir, table, text_buffers
+from strata.llm.common import apart, bounded_batches, chunks, keep, release, scratch_dir, table, text_buffers
 
 SPAN = 200
 KGRAM = 64
@@ -391,6 +391,7 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, kgram: int = KGRAM, hot:
     return done.unionByName(found).unionByName(spread)
 
 
+@apart(["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed"], "text", "key")
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN, kgram: int = KGRAM) -> DataFrame:
     """All columns of ``docs`` and n_bytes, n_removed, n_spans (long), kept_sha256 (string), kept_text
     (the bytes that stay, without characters that were cut in two), removed (array of begin and end).

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import hashing
-from strata.llm.common import bounded_batches, chunks, fold, table, text_buffers
+from strata.llm.common import apart, bounded_batches, chunks, fold, table, text_buffers
 from strata.llm.op3_language import sample
 
 BITS = 22
@@ -145,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, text: str = "tex
     return train(rows(sample(found, key, positives, text)), rows(sample(full, key, unlabelled, text)), prior)
 
 
+@apart(["score", "predicted"], "text")
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and score double (0 to 1), predicted int (1 from ``threshold`` on).
 
