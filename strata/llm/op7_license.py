@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import keep, scratch_dir, table
+from strata.llm.common import apart, keep, scratch_dir, table
 from strata.llm.licence_texts import TEXTS
 
 # Short statements by which public licences are declared.
@@ -110,8 +110,18 @@ def template_counts(texts: Column, docs: DataFrame, templates: dict[str, str]) -
 def _scores(words: Column, w: Weights) -> Column:
     """(score, licence) of the best template for an array of terms; ties: the first name."""
     idf = F.create_map(*[F.lit(x) for t, v in w.idf.items() for x in (t, v)])
+    # equal words stand together once they are sorted: one pass adds up the squares of their runs
+    square = lambda s: F.pow(s["run"] * F.coalesce(F.try_element_at(idf, s["word"]), F.lit(w.other)), F.lit(2.0))
+    state = lambda word, run, total: F.struct(word.alias("word"), run.alias("run"), total.alias("total"))
+    step = lambda s, x: F.when(x == s["word"], state(s["word"], s["run"] + 1.0, s["total"])).otherwise(state(x, F.lit(1.0), s["total"] + square(s)))
+    norm = F.sqrt(F.aggregate(F.array_sort(words), state(F.lit(""), F.lit(0.0), F.lit(0.0)), step, lambda s: s["total"] + square(s)))
+    known = F.filter(words, lambda x: F.try_element_at(idf, x).isNotNull())
+    # each of these arrays and numbers is made once, not wherever it is used
+    return F.get(F.transform(F.array(F.struct(known.alias("words"), norm.alias("norm"))), lambda x: _best(x["words"], x["norm"], w)), 0)
+
+
+def _best(words: Column, norm: Column, w: Weights) -> Column:
     tf = lambda t: F.size(F.filter(words, lambda x: x == t))
-    norm = F.sqrt(F.aggregate(F.array_distinct(words), F.lit(0.0), lambda s, t: s + F.pow(tf(t) * F.coalesce(F.try_element_at(idf, t), F.lit(w.other)), F.lit(2.0))))
     options = []
     for name, own in w.tf.items():
         dot = F.lit(0.0)
@@ -173,6 +183,7 @@ def _marked(text: Column) -> tuple[Column, Column]:
     return F.when(text.contains("SPDX-License-Identifier:") & (tag != ""), one(tag)), F.when(low.rlike("licen[cs]e") & title.isNotNull(), one(title))
 
 
+@apart(["own_licence", "own_score", "licence", "licence_from"], "text", "path")
 def scan_licences(files: DataFrame, text: str = "text", path: str = "path", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, license_file: str = LICENSE_FILE) -> DataFrame:
     """All columns of ``files`` and own_licence, own_score (0 without one), licence (own or inherited),
     licence_from (the directory it is inherited from, else null).
@@ -193,7 +204,7 @@ def scan_licences(files: DataFrame, text: str = "text", path: str = "path", temp
     w = Weights(templates, count, n)
     pattern = r"(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, w.heavy(threshold))) + ")(?![a-z0-9])"
     able = F.filter(sentences(F.col("_text")), lambda s: s.rlike(pattern))
-    scored = F.transform(able, lambda s: _scores(terms(s), w))
+    scored = F.transform(F.transform(able, terms), lambda words: _scores(words, w))
     rank = lambda x: x["score"] + F.when((x["score"] >= threshold) & (x["licence"] != UNNAMED), 1.0).otherwise(0.0)
     best = F.aggregate(scored, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("licence")), lambda a, b: F.when((rank(b) > rank(a)) | ((rank(b) == rank(a)) & (b["licence"] < a["licence"])), b).otherwise(a))
     none = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("licence"))
