@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import hashing
-from strata.llm.common import bounded_batches, chunks, keep, release, scratch_dir, table, text_buffers, text_hashes
+from strata.llm.common import apart, bounded_batches, chunks, keep, release, scratch_dir, table, text_buffers, text_hashes
 
 GRAM = 3
 MIN_SCORE = 0.5
@@ -30,8 +30,6 @@ BITS = 1 << 26
 CELLS, ROWS = 1 << 18, 1 << 18
 #: Texts that a task remembers, so that copies of them are looked up once.
 SEEN = 1 << 17
-#: Meeting points that may be broadcast (24 bytes each); more of them are shuffled, and the texts with them.
-SMALL = 1 << 18
 #: A-Z as a-z, every other ASCII byte that is no letter or digit as a space.
 _PLAIN = np.array([c if c >= 128 or chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], dtype=np.uint8)
 
@@ -223,6 +221,7 @@ def _aligned(min_score: float):
     return run
 
 
+@apart(["leaks"], "text")
 def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", gram: int = GRAM, min_score: float = MIN_SCORE) -> DataFrame:
     """All columns of ``docs`` and ``leaks``: an array of (item_id, score, last_word), empty where clean.
 
@@ -248,7 +247,8 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     met = hits.join(seeds, "seed").select("t1", "t2", "item", "size", (F.col("pos") - F.col("place")).alias("start")).distinct()
     met = keep(met, where, "met")
     lists = met.groupBy("t1", "t2").agg(F.collect_list(F.struct("item", "size", "start")).alias("met"))
-    held = texts.join(F.broadcast(lists) if met.count() <= SMALL else lists, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
+    # a task keeps one of equal texts before any is shuffled
+    held = texts.dropDuplicates(["t1", "t2"]).join(lists, ["t1", "t2"])
     parts = held.select("t1", "t2", "met", "text").mapInArrow(_passages(min_score), _PASSAGES)
     own = keep(known.select("item", "text").mapInArrow(_item_words, _WORDS), where, "words")
     aligned = parts.join(own, "item").select("t1", "t2", "item", "begin", "words", "own").mapInArrow(_aligned(min_score), _FOUND)

@@ -292,7 +292,6 @@ def test_decontamination(spark, edge, none, monkeypatch):
     found = lambda: {(r["doc_id"], r["l"]["item_id"]) for r in op8.mark_leaks(d, b).select("doc_id", F.explode("leaks").alias("l")).collect()}
     assert found() == want
     monkeypatch.setattr(op8, "BITS", 64)  # a bitmap that lets everything pass
-    monkeypatch.setattr(op8, "SMALL", 0)  # and texts are shuffled
     assert found() == want
     assert op8.mark_leaks(edge, b).count() == edge.count() and op8.mark_leaks(none, b).count() == 0
     assert op8.mark_leaks(edge, b.where("false")).where("size(leaks) > 0").count() == 0
