@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strata.operators import intervals
 from strata.schema import RECURSE
 from strata.storage import keep, scratch_dir
 
@@ -67,14 +68,18 @@ def plan(spans: DataFrame, parents: DataFrame, events: DataFrame, hunks: DataFra
     end = F.col("origin_start") + F.col("line_count")
     h = hunks.select(F.col("commit").alias("blamed"), "pos", F.col("new_path").alias("origin_path"), "old_start", "old_lines", "new_start", "new_lines")
     keys = ["blamed", "pos", "origin_path"]
-    a, b = go.alias("a"), h.alias("b")
-    equal = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    joined = a.join(b, [*equal, overlap(F.col("a.origin_start"), F.col("a.origin_start") + F.col("a.line_count"), F.col("b.new_start"), F.col("b.new_lines"))], "left")
-    joined = joined.select("a.*", "b.old_start", "b.old_lines", "b.new_start")
+    hits = intervals.overlaps(go.withColumn("_end", end), h.withColumn("_stop", F.col("new_start") + F.col("new_lines")), keys, ("origin_start", "_end"), ("new_start", "_stop"))
+    hits = hits.select(*go.columns, "old_start", "old_lines", "new_start")
+    missed = go.join(hits.select("span", "pos").distinct(), ["span", "pos"], "left_anti")
+    joined = hits.unionByName(missed, allowMissingColumns=True)
     hit, gone = F.col("new_start").isNotNull(), F.col("old_lines") == 0
     shift = F.lit(0)
     if exact_ranges:
-        before = a.join(b, [*equal, F.col("b.new_start") + F.col("b.new_lines") <= F.col("a.origin_start")]).groupBy("a.span", "a.pos").agg(F.sum(F.col("b.old_lines") - F.col("b.new_lines")).alias("_shift"))
+        # an as-of join: the running sum of what hunks before a span's start took away
+        edits = h.select(*keys, (F.col("new_start") + F.col("new_lines")).alias("_at"), F.lit(0).alias("_kind"), (F.col("old_lines") - F.col("new_lines")).alias("_less"), F.lit(None).cast(go.schema["span"].dataType).alias("span"))
+        asked = missed.select(*keys, F.col("origin_start").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_less"), "span")
+        order = W.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+        before = edits.unionByName(asked).withColumn("_shift", F.sum("_less").over(order)).where("_kind = 1").select("span", "pos", "_shift")
         joined = joined.join(before, ["span", "pos"], "left")
         shift = F.coalesce("_shift", F.lit(0))
     kind = F.when(hit & gone, "introduced_here").otherwise(RECURSE)

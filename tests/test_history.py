@@ -140,7 +140,7 @@ def test_only_what_is_visited_is_diffed(spark, tmp_path):
     t = h.trace("f5.txt:1", since=SINCE)
     assert t.tables["blame_requests"].count() == 1 and {x["edge_type"] for x in t.tables["lineage_edges"].collect()} == {"introduced_here"}
     assert [tuple(x) for x in h.diffed["events"].collect()] == [tuple(x) for x in h.diffed["hunks"].collect()] == [(shas[5], 0)]
-    assert [x["path"] for x in t.scope.covered.collect()] == ["f5.txt"] and t.scope.lines.count() == 5
+    assert [x["path"] for x in t.scope.covered.collect()] == ["f5.txt"] and [x["line_count"] for x in t.scope.spans.collect()] == [5]
     assert t.tables["file_events"].count() == 1 and t.tables["diff_hunks"].count() == 1
     h.trace("f5.txt:2", since=SINCE).tables  # known already
     assert h.diffed["events"].count() == h.diffed["hunks"].count() == 1
@@ -236,3 +236,73 @@ def test_random_repositories(spark, tmp_path, seed):
     for x in h.commits.where(F.size("parents") == 1).limit(4).collect():
         rows = h.steps_of(spark.createDataFrame([(x["sha"],)], "commit string"))[1].where(F.col("commit") == x["sha"]).collect()
         assert sorted((y["new_path"], y["old_start"], y["old_lines"], y["new_start"], y["new_lines"]) for y in rows) == hunks_of(r, x["parents"][0], x["sha"])
+
+
+def test_intervals_of_one_file(spark):
+    """100,000 hunks and 100,000 spans of one path, without meeting each other all."""
+    from strata.operators import intervals
+
+    n = 100_000
+    hunks = spark.range(n).select(F.lit("p").alias("path"), (F.col("id") * 10).alias("hs"), (F.col("id") * 10 + F.col("id") % 7).alias("he"), F.col("id").alias("h"))
+    spans = spark.range(n).select(F.lit("p").alias("path"), (F.col("id") * 10 + 3).alias("ss"), (F.col("id") * 10 + 12).alias("se"), F.col("id").alias("s"))
+    got = intervals.overlaps(hunks, spans, ["path"], ("hs", "he"), ("ss", "se"))
+    # a span meets its own hunk from 4 lines on, and the two first lines of the next, if it has any
+    assert got.count() == sum(k % 7 > 3 for k in range(n)) + sum(k % 7 > 0 for k in range(1, n))
+    assert got.where("not (hs < se and ss < he)").count() == 0
+
+
+def test_intervals_against_all_pairs(spark):
+    from strata.operators import intervals
+
+    r = random.Random(3)
+    make = lambda n: [(r.choice("ab"), s := r.randrange(300), s + r.choice([0, 1, 5, 64, 200]), i) for i in range(n)]
+    a, b = make(80), make(80)
+    da, db = spark.createDataFrame(a, "k string, s long, e long, i long"), spark.createDataFrame(b, "k string, t long, f long, j long")
+    for width in (1, 16, 64, 1000):
+        got = sorted((x["i"], x["j"]) for x in intervals.overlaps(da, db, ["k"], ("s", "e"), ("t", "f"), width).collect())
+        assert got == sorted((i, j) for k, s, e, i in a for q, t, f, j in b if k == q and max(s, t) < min(e, f))
+
+
+def test_stretches(spark):
+    """Versions as random edits, two parents now and then, against pointers of single lines."""
+    from strata.operators import blame
+
+    r = random.Random(8)
+    versions, blocks = {0: [(0, i + 1) for i in range(20)]}, []
+    for v in range(1, 9):
+        lines, rows = [], []
+        for pos, p in enumerate([v - 1] if v % 3 else [v - 1, max(v - 3, 0)]):
+            at = 1
+            while at <= len(versions[p]):
+                size = r.randrange(1, 6)
+                rows.append((pos, p, at, min(size, len(versions[p]) + 1 - at)))
+                at += size + r.randrange(3)
+        used, owner = [], {}
+        start = 1
+        for pos, p, old, size in sorted(rows, key=lambda x: (x[2], x[0])):
+            start += r.randrange(2) if pos == 0 else -r.randrange(2)  # blocks of the second parent may overlap
+            start = max(start, 1)
+            used.append((v, pos, start, size, p, old))
+            for k in range(size):
+                if (start + k) not in owner or pos < owner[start + k][0]:
+                    owner[start + k] = (pos, p, old + k)
+            start += size
+        first = [x for x in used if x[1] == 0]
+        ok = all(x[2] + x[3] <= y[2] for x, y in zip(first, first[1:]))
+        second = [x for x in used if x[1] == 1]
+        ok = ok and all(x[2] + x[3] <= y[2] for x, y in zip(second, second[1:]))
+        if not ok:
+            used = first = [x for x in used if x[1] == 0 and x is used[0]]
+            owner = {x[2] + k: (0, x[4], x[5] + k) for x in first for k in range(x[3])}
+        n = max(owner, default=0) + r.randrange(3)
+        for i in range(1, n + 1):
+            lines.append(versions[owner[i][1]][owner[i][2] - 1] if i in owner else (v, i))
+        versions[v] = lines
+        blocks += used
+    b = spark.createDataFrame(blocks, "node int, parent_position int, start long, size long, to int, to_start long")
+    sizes = spark.createDataFrame([(v, len(x)) for v, x in versions.items()], "node int, n long")
+    end = blame.jump_segments(blame.segments(b, sizes, ["node"]), scratch_dir(spark))
+    got = {(x["node"], x["start"] + k): (x["root"], x["root_start"] + k) for x in end.collect() for k in range(x["size"])}
+    assert got == {(v, i + 1): o for v, x in versions.items() for i, o in enumerate(x)}
+    spans = blame.merged(end.select("node", "start", "size", F.col("root").alias("blamed"), F.lit("p").alias("origin_path"), F.col("root_start").alias("origin_start")), ["node"])
+    assert {(x["node"], x["final_start_line"] + k): (x["blamed"], x["origin_start_line"] + k) for x in spans.collect() for k in range(x["line_count"])} == got
