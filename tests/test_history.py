@@ -306,3 +306,52 @@ def test_stretches(spark):
     assert got == {(v, i + 1): o for v, x in versions.items() for i, o in enumerate(x)}
     spans = blame.merged(end.select("node", "start", "size", F.col("root").alias("blamed"), F.lit("p").alias("origin_path"), F.col("root_start").alias("origin_start")), ["node"])
     assert {(x["node"], x["final_start_line"] + k): (x["blamed"], x["origin_start_line"] + k) for x in spans.collect() for k in range(x["line_count"])} == got
+
+
+def test_moved_blocks():
+    from strata.operators import diff
+
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ([r.choice("abcdef") * 3 for _ in range(r.randrange(12))] for _ in range(2))
+        free = [r.random() < 0.7 for _ in b]
+        want, j = [], 0
+        while j < len(b):
+            size, at = 0, 0
+            # the longest match of the whole rest, of its first place, cut to the free lines
+            for i in range(len(a)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                    k += 1
+                size, at = (k, i) if k > size else (size, at)
+            size = min(size, next((k for k, f in enumerate(free[j:]) if not f), len(b) - j))
+            if size and 3 * size >= 6:
+                want.append((at, j, size))
+                j += size
+            else:
+                j += 1
+        got = diff.moves(a, b, free, 6)
+        assert [x[1:] for x in got] == [x[1:] for x in want] and all(a[i : i + n] == b[j : j + n] for i, j, n in got)
+    assert diff.moves([None, "x" * 30], [None, "x" * 30], [True, True], 20) == [(1, 1, 1)] and diff.moves([], ["a"], [True], 1) == []
+    many = ["}"] * 20_000
+    assert diff.moves(many, many, [True] * len(many), 20)[0][2] == 20_000
+
+
+@needs_git
+def test_moves_within_a_file(spark, tmp_path):
+    r = Repo(tmp_path)
+    body = [f"line {k} with a number of its own {k * 7919}" for k in range(30)]
+    text = lambda x: "\n".join(x) + "\n"
+    r.commit("one", {"f": text(body)})
+    r.commit("two", {"f": text([*body[:3], "an edit in between, of the second commit", *body[4:]])})
+    now = [*body[:3], "an edit in between, of the second commit", *body[4:]]
+    last = r.commit("three", {"f": text([*now[22:27], *now[:22], "something that is new here", *now[27:]])})
+    for moved, flag in ((0, []), (20, ["-M"])):
+        h = History.from_git(spark, r.path, moved=moved)
+        t = h.trace("f:1-31", since=SINCE, max_depth=0)
+        got = {x["final_start_line"] + k: (x["blamed_commit_sha"], x["origin_start_line"] + k) for x in t.tables["blame_spans"].collect() for k in range(x["line_count"])}
+        want = {}
+        for x in r.git("blame", *flag, "--line-porcelain", last, "--", "f").splitlines():
+            if m := re.match(r"([0-9a-f]{40}) (\d+) (\d+)", x):
+                want[int(m[3])] = (m[1], int(m[2]))
+        assert got == want and len({c for c, _ in got.values()}) == 3
