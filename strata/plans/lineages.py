@@ -294,6 +294,17 @@ def validate_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0]
 
 
+def validate_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the requests and edges of a run, with requests known by their four columns."""
+    run = Run.of(spark, sf_dir)
+    text = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c))
+    depth = F.col("depth")
+    requests = run.table("requests").select(text(*KEY).alias("id"), F.lit(1).alias("scan_id"), F.col("commit").alias("commit_sha"), "path", F.col("s").alias("start_line"), F.col("e").alias("end_line"), "depth", F.when(depth == 0, "seed").otherwise("parent_recurse").alias("reason"))
+    nxt = F.when(F.col("next_path").isNotNull(), text("parent", "next_path", "next_s", "next_e"))
+    edges = run.table("edges").select(text(*KEY).alias("from_request_id"), nxt.alias("next_request_id"), "edge_type")
+    return validate.validate({"blame_requests": requests, "lineage_edges": edges})
+
+
 def validate_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers that an order has more than once."""
     return validate.repeated_keys(fx.read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -312,7 +323,7 @@ def git_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gitrepo.read(spark, root, "commits")
 
 
-QUERIES = {f.__name__: f for f in (git_source, parents_expand, ancestors, merge_base, commit_chains, ancestor_chains, tree_intervals, trees, classify_cutoff, event_first_match, hunk_overlap, plan_actions, request_fixpoint, lineage_edges, edge_type_counts, spans_without_edges, commits_discovered, dangling_parents, summary, files_touched, ranges_for_file, top_commits, seed_covering_line, lineage_step, lineage_walk, renames_copies, commit_parent_list, file_dossier, validate_fk, validate_unique, validate_enum)}
+QUERIES = {f.__name__: f for f in (git_source, parents_expand, ancestors, merge_base, commit_chains, ancestor_chains, tree_intervals, trees, classify_cutoff, event_first_match, hunk_overlap, plan_actions, request_fixpoint, lineage_edges, edge_type_counts, spans_without_edges, commits_discovered, dangling_parents, summary, files_touched, ranges_for_file, top_commits, seed_covering_line, lineage_step, lineage_walk, renames_copies, commit_parent_list, file_dossier, validate_lineage, validate_fk, validate_unique, validate_enum)}
 
 _B, _L = f"with {fx.B_SQL}", f"with recursive {fx.LINEAGE_SQL}"
 _D = "disc as (select blamed as sha from sp union select c from h_seed)"
@@ -358,6 +369,17 @@ ORACLES = {
       from h_commits c left join h_commit_parents p on p.sha = c.sha where c.sha in (select sha from disc) group by 1, 2, 3""",
     "file_dossier": f"""{_L} select sp.c, sp.p, sp.s, sp.e, sp.blamed, h.author, h.committed_on, ed.edge_type, ed.pos, ed.parent_sha from sp join h_seed d on d.c = sp.c and d.p = sp.p and d.s = sp.s and d.e = sp.e and d.p = 'f3'
       left join ed on ed.c = sp.c and ed.p = sp.p and ed.s = sp.s and ed.e = sp.e join h_commits h on h.sha = sp.blamed""",
+    "validate_lineage": f"""{_L}, rq as (select concat_ws(':', c, p, s, e) as id, c, p, s, e, depth from req),
+      eg as (select concat_ws(':', c, p, s, e) as f, case when next_path is not null then concat_ws(':', parent_sha, next_path, next_s, next_e) end as n, edge_type from ed)
+      select 'not null: id, scan_id, commit_sha, path, start_line, end_line, depth, reason' as rule, 'blame_requests' as table_name, (select count(*) from rq where c is null or p is null or s is null or e is null or depth is null) as broken
+      union all select 'domain: reason', 'blame_requests', (select count(*) from rq where depth < 0)
+      union all select 'not null: from_request_id, edge_type', 'lineage_edges', (select count(*) from eg where f is null or edge_type is null)
+      union all select 'domain: edge_type', 'lineage_edges', (select count(*) from eg where edge_type not in ('recurse_to_parent', 'root_commit', 'older_than_since', 'max_depth', 'binary_skipped', 'introduced_here'))
+      union all select 'next request: edge_type', 'lineage_edges', (select count(*) from eg where (edge_type = 'recurse_to_parent') <> (n is not null))
+      union all select 'unique: id', 'blame_requests', (select count(*) from (select id from rq group by 1 having count(*) > 1))
+      union all select 'unique: scan_id, commit_sha, path, start_line, end_line', 'blame_requests', (select count(*) from (select 1 from rq group by c, p, s, e having count(*) > 1))
+      union all select 'refers to blame_requests: from_request_id', 'lineage_edges', (select count(*) from eg where f not in (select id from rq))
+      union all select 'refers to blame_requests: next_request_id', 'lineage_edges', (select count(*) from eg where n is not null and n not in (select id from rq))""",
     "validate_fk": f"""{_L}, {_D} select 'parents: sha' as rule, (select count(*) from h_commit_parents where sha not in (select sha from h_commits)) as broken
       union all select 'parents: parent_sha', (select count(*) from h_commit_parents where parent_sha not in (select sha from h_commits))
       union all select 'hunks: sha', (select count(*) from h_hunks where sha not in (select sha from h_commits))

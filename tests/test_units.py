@@ -224,3 +224,17 @@ def test_guide_and_paths(tmp_path):
     assert sidecars("x/db.sqlite") == ["x/db.sqlite-wal", "x/db.sqlite-shm"] and sidecars("db") == ["db-wal", "db-shm"]
     a = cli.parser().parse_args(["scan"])
     assert (a.base, a.max_depth, a.rename_threshold) == ("origin/main", 5, 50) and cli.parser().parse_args(["trace", "x:1"]).max_depth == 20
+
+
+def test_rules_of_rows_in_one_pass(spark, tmp_path):
+    e = spark.createDataFrame([(1, 1, 1, 1, "max_depth", 5), (2, 1, 1, 1, "recurse_to_parent", None), (3, 1, None, 1, "odd", None), (4, 1, 1, 1, "max_depth", None)], "id long, scan_id long, from_request_id long, to_span_id long, edge_type string, next_request_id long")
+    rows, counted = validate.watched(e, "lineage_edges")
+    rows.write.parquet(f"{tmp_path}/edges")
+    want = {"not null: id, scan_id, from_request_id, to_span_id, edge_type": 1, "domain: edge_type": 1, "next request: edge_type": 2}
+    assert counted() == want
+    for seen in (None, {"lineage_edges": counted()}):
+        got = {r["rule"]: r["broken"] for r in validate.validate({"lineage_edges": e}, seen).collect()}
+        assert got == want | {"unique: id": 0}
+    # a pass over the table and one over its keys
+    plan = validate.validate({"lineage_edges": spark.read.parquet(f"{tmp_path}/edges")}, {})
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
