@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--since", type=datetime.date.fromisoformat)
         p.add_argument("--include-binary", action="store_true")
         p.add_argument("--rename-threshold", type=int, default=50)
+        p.add_argument("--moved", type=int, default=0, help="characters from which on moved lines keep their commit")
     g = sub.add_parser("guide")
     g.add_argument("-o", "--output", default="LINEAGE.md")
     g.add_argument("--stdout", action="store_true")
@@ -71,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     from strata.plans.history import History
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    h = History.from_git(spark, args.repo, threshold=args.rename_threshold, include_binary=args.include_binary)
+    h = History.from_git(spark, args.repo, threshold=args.rename_threshold, include_binary=args.include_binary, moved=args.moved)
     options = {"max_depth": args.max_depth, "since": args.since}
     found = h.scan(args.base, **options) if args.command == "scan" else h.trace(args.target, **options)
     if args.out:
