@@ -33,8 +33,9 @@ def lcs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The general line differ over the versions of each file."""
     lines = fx.file_lines(spark, sf_dir)
     files = lines.groupBy(*BY).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("new"))
-    old = files.select("doc_id", (F.col("v") + 1).alias("v"), F.col("new").alias("old"))
-    m = diff.lcs_matches(files.join(old, BY), BY)
+    before = W.partitionBy("doc_id").orderBy("v")
+    pairs = files.withColumn("old", F.when(F.lag("v").over(before) == F.col("v") - 1, F.lag("new").over(before))).where("old is not null")
+    m = diff.lcs_matches(pairs, BY)
     return m.select(*BY, F.col("new_line").alias("line_no"), F.col("old_line").alias("parent_line"))
 
 
@@ -80,7 +81,7 @@ def patch_by_id(spark: SparkSession, sf_dir: str, hunk: int = 1) -> DataFrame:
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = fx.file_lines(spark, sf_dir)
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy("v", F.col("doc_id").cast("string").alias("path")).agg(F.md5(body).alias("blob"))
+    return lines.groupBy("doc_id", "v").agg(F.md5(body).alias("blob")).select("v", F.col("doc_id").cast("string").alias("path"), "blob")
 
 
 def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,15 +128,9 @@ def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, final_line, blamed, origin_line, origin_path) of the last version's lines: each line points
-    to the line it was carried from, and pointers are jumped to the end."""
-    lines = fx.file_lines(spark, sf_dir)
-    node = F.struct("doc_id", "v", "line_no")
-    back = blame.carried(lines, ["doc_id"])
-    ptr = lines.select("doc_id", "v", "line_no").join(back, ["doc_id", "v", "line_no"], "left")
-    ptr = ptr.select(node.alias("node"), F.when(F.col("parent_line").isNotNull(), F.struct("doc_id", (F.col("v") - 1).alias("v"), F.col("parent_line").alias("line_no"))).alias("next"))
-    roots = blame.jump(ptr, scratch_dir(spark)).where(F.col("node.v") == LAST)
-    return roots.select("node.doc_id", F.col("node.line_no").alias("final_line"), F.col("root.v").cast("long").alias("blamed"), F.col("root.line_no").alias("origin_line"), F.col("node.doc_id").cast("string").alias("origin_path"))
+    """(doc_id, final_line, blamed, origin_line, origin_path) of the last version's lines."""
+    found = blame.origins(fx.file_lines(spark, sf_dir), ["doc_id"]).where(F.col("v") == LAST)
+    return found.select("doc_id", F.col("line_no").alias("final_line"), F.col("blamed").cast("long").alias("blamed"), "origin_line", F.col("doc_id").cast("string").alias("origin_path"))
 
 
 def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
