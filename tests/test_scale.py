@@ -1,12 +1,14 @@
 """Steps that must not shuffle, join or repeat more than their input needs."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from strata.operators import blame
+from strata import fixtures as fx
+from strata.operators import blame, graph, intervals
 
 DIR = os.environ.get("STRATA_TEST_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -39,3 +41,44 @@ def test_lines_that_come_back(spark):
     made = blame.script(lines.where("f = 1"), ["f"], 0, 3).orderBy("v", "segment", "kind", F.coalesce("old_line", "new_line"))
     assert [(r.v, r.kind, r.segment, r.old_line, r.new_line, r.line) for r in made.collect()] == [
         (1, 1, 0, 1, None, "a"), (1, 0, 1, 2, 1, "b"), (2, 2, 0, None, 1, "a"), (2, 0, 1, 1, 2, "b"), (3, 0, 1, 1, 1, "a"), (3, 1, 1, 2, None, "b")]
+
+
+def test_small_tables_meet_dealt_ones(spark):
+    """What a level of a trace asks for is brought to the tables of commits, which stay where they are."""
+    from strata.plans import lineages
+
+    run = lineages.Run(spark, DIR)
+    run.parts = 3
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = run.table("seeds").select("commit").distinct()
+        for df in run.diffs(asked):
+            p = plan(df)
+            assert p.count("Bucketed: true") == 1 and "Exchange hashpartitioning(sha" not in p
+        blamed = fx.blame_asked(run.table("seeds"), run.table("touches"), run.info())
+        assert plan(blamed).count("Bucketed: true") == 3  # the questions' commits are looked up for both sides
+        want = run.table("blame").join(run.table("seeds").select("commit", "path").distinct(), ["commit", "path"])
+        assert sorted(blamed.collect()) == sorted(want.select(*blamed.columns).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("strata_")]
+
+
+def test_steps_are_not_gathered_at_each_level(spark):
+    steps = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a")], "node string, next string")
+    start = spark.createDataFrame([(1, "a")], "root int, node string")
+    assert sorted(tuple(r) for r in graph.reach(start, steps).collect()) == [(1, "a", 0), (1, "b", 1), (1, "c", 2)]
+    p = plan(graph.walk(spark.createDataFrame([(1, 2)], "from_request_id int, next_request_id int"), start.selectExpr("root", "1 as node")))
+    assert "Aggregate" not in p
+
+
+def test_points_in_spans(spark):
+    rng = random.Random(3)
+    points = [(k, rng.randrange(900)) for k in (1, 2) for _ in range(60)]
+    spans = [(k, b, None if rng.random() < 0.2 else b + rng.choice([0, 1, 5, 64, 300])) for k in (1, 2, 3) for b in (rng.randrange(950) for _ in range(40))]
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(points)], "i int, k int, at long")
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(spans)], "j int, k int, b long, e long")
+    want = sorted((i, j) for i, (k, at) in enumerate(points) for j, (l, b, e) in enumerate(spans) if k == l and b <= at and (e is None or at < e))
+    for width in (1, 8, 64):
+        assert sorted((r.i, r.j) for r in intervals.holding(p, s, ["k"], "at", ("b", "e"), width).collect()) == want
