@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from strata import fixtures as fx
-from strata.operators import blame, graph, intervals
+from strata.operators import blame, diff, graph, intervals
 
 DIR = os.environ.get("STRATA_TEST_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -82,3 +82,12 @@ def test_points_in_spans(spark):
     want = sorted((i, j) for i, (k, at) in enumerate(points) for j, (l, b, e) in enumerate(spans) if k == l and b <= at and (e is None or at < e))
     for width in (1, 8, 64):
         assert sorted((r.i, r.j) for r in intervals.holding(p, s, ["k"], "at", ("b", "e"), width).collect()) == want
+
+
+def test_copies_of_similar_files_meet_once(spark):
+    """The old files of a set of lines stand for one, the new ones all have its row; pairs don't grow with copies."""
+    old = [(1, f"a/{k}", x) for k in range(1, 31) for x in "uvwxyz"] + [(1, "a/9b", x) for x in "uvwxy"]
+    new = [(1, f"b/{k}", x) for k in range(40) for x in "vwxyz"]
+    sides = [spark.createDataFrame(x, "commit int, path string, line string") for x in (old, new)]
+    got = diff.similar_files(*sides, ["commit"], 50)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((1, "a/1", f"b/{k}", 83) for k in range(40))
