@@ -15,7 +15,8 @@ Which strings can repeat is narrowed down first, then decided by a suffix sort:
    order, those that share d bytes to the left a run of the second; two rows in the same pair of runs
    have that window in common. Extensions of neighbours are verified byte by byte.
 4. An anchor with over HOT different runs would be too much for one task. Its windows are rows of their
-   own, which meet by 128 bits of their hash, counted within tasks first.
+   own, which go the way of runs in step 2: equal ones (128 bits of hash) are joined within a task, which
+   sends one of them, and meet in a sorted pass, without a join.
 """
 
 from __future__ import annotations
@@ -207,6 +208,25 @@ def _batch(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, _TYPES, strict=True)], _ROW)
 
 
+def _joined_here(held: list[tuple], settled: np.ndarray | None = None):
+    """Rows (key, size, lo, hi, at, anchor, run) of a task as batches: one of each anchor and run, _MANY if there
+    are more or it is ``settled``, and _DONE what those that there are more of cover, sent on by its own key."""
+    key, size, lo, hi, at, anchor, own = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((own, anchor))
+    same = (anchor[order][1:] == anchor[order][:-1]) & (own[order][1:] == own[order][:-1])
+    later, again = np.append(False, same), np.append(same, False)
+    first, many = order[~later], (later | again)[~later]
+    kind = np.where(many if settled is None else many | settled[first], _MANY, _ONE).astype(np.int8)
+    yield _batch([kind, anchor[first].view(np.int64), own[first].view(np.int64), key[first], size[first], lo[first], hi[first], at[first]])
+    dup = order[later | again]
+    if len(dup):
+        ids = np.unique(np.stack([key[dup], size[dup]]), axis=1, return_inverse=True)
+        doc, a, b = _merge(ids[1].reshape(-1), lo[dup], hi[dup])
+        k, s = ids[0][0][doc], ids[0][1][doc]
+        zero = np.zeros(len(doc), dtype=np.int64)
+        yield _batch([np.full(len(doc), _DONE, np.int8), k, zero, k, s, a, b, zero])
+
+
 def _emit_runs(span: int, kgram: int):
     def run(batches):
         held: list[tuple] = []
@@ -214,23 +234,9 @@ def _emit_runs(span: int, kgram: int):
 
         def flush():
             nonlocal held, count
-            if not held:
-                return
-            key, size, lo, hi, at, anchor, own = (np.concatenate(c) for c in zip(*held, strict=True))
+            if held:
+                yield from _joined_here(held)
             held, count = [], 0
-            order = np.lexsort((own, anchor))
-            same = (anchor[order][1:] == anchor[order][:-1]) & (own[order][1:] == own[order][:-1])
-            later, again = np.append(False, same), np.append(same, False)
-            first, many = order[~later], (later | again)[~later]
-            kind = np.where(many, _MANY, _ONE).astype(np.int8)
-            yield _batch([kind, anchor[first].view(np.int64), own[first].view(np.int64), key[first], size[first], lo[first], hi[first], at[first]])
-            dup = order[later | again]
-            if len(dup):  # settled here; sent on by their own key
-                ids = np.unique(np.stack([key[dup], size[dup]]), axis=1, return_inverse=True)
-                doc, a, b = _merge(ids[1].reshape(-1), lo[dup], hi[dup])
-                k, s = ids[0][0][doc], ids[0][1][doc]
-                zero = np.zeros(len(doc), dtype=np.int64)
-                yield _batch([np.full(len(doc), _DONE, np.int8), k, zero, k, s, a, b, zero])
 
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -293,13 +299,26 @@ def _settle(batches):
         yield from settle(held)
 
 
-_CUT = "anchor long, other long, kind byte, key long, size int, lo int, left int, bytes binary"
+_CUT = "anchor long, run long, kind byte, key long, size int, lo int, hi int, left int, bytes binary"
 
 
 def _cut_out(span: int):
-    """Bytes of the runs in question, and of hot anchors a row for each window (two hashes; left is -1)."""
+    """Bytes of the runs in question, and of hot anchors the windows as rows of two hashes (left is -1), those that
+    are equal within a task as one."""
 
     def run(batches):
+        held: list[tuple] = []
+        count = 0
+
+        def flush():
+            nonlocal held, count
+            if held:
+                # a run that is shown has been settled, and its windows with it
+                for b in _joined_here([x[:-1] for x in held], np.concatenate([x[-1] for x in held])):
+                    columns = [b.column(n) for n in ("anchor", "run", "kind", "key", "size", "lo", "hi")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(b.num_rows, -1, np.int32)), pa.nulls(b.num_rows, pa.binary())], names)
+            held, count = [], 0
+
         for batch in batches:
             buf, off = text_buffers(batch.column("text"))
             asked = batch.column("asked")
@@ -309,10 +328,6 @@ def _cut_out(span: int):
             c = {n: v[: len(doc)] for n, v in c.items()}
             keys, sizes = batch.column("key").to_numpy(zero_copy_only=False), np.diff(off)
 
-            def out(anchor, other, kind, doc, lo, left, texts):
-                columns = [anchor, other, kind.astype(np.int8), keys[doc], sizes[doc].astype(np.int32), lo.astype(np.int32), left.astype(np.int32)]
-                return pa.RecordBatch.from_arrays([*map(pa.array, columns), texts], [x.split()[0] for x in _CUT.split(", ")])
-
             for hot in (False, True):
                 rows, most = np.flatnonzero(c["hot"] == hot), CUT_HOT if hot else CUT_ROWS
                 for s in range(0, len(rows), most):
@@ -321,16 +336,23 @@ def _cut_out(span: int):
                     lo, hi, at = (c[n][e].astype(np.int64) for n in ("lo", "hi", "at"))
                     texts = [buf[off[q] + a : off[q] + b + span] for q, a, b in zip(d, lo, hi, strict=True)]
                     if not hot:
-                        yield out(anchor, np.zeros(len(e), dtype=np.int64), kind, d, lo, at - lo, pa.array([x.tobytes() for x in texts], pa.binary()))
+                        columns = [anchor, np.zeros(len(e), dtype=np.int64), kind.astype(np.int8), keys[d], *(x.astype(np.int32) for x in (sizes[d], lo, hi, at - lo))]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x.tobytes() for x in texts], pa.binary())], names)
                         continue
                     whole, n = np.concatenate(texts), hi - lo + 1
                     begin = np.append(0, np.cumsum(n + span - 1))[:-1]
                     row = np.repeat(np.arange(len(e)), n)
                     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                     first = begin[row] + step
-                    one, two = (hashing.mix(hashing.spans(hashing.prefix(whole, t), first, first + span)).view(np.int64) for t in (hashing.BYTE, hashing.BYTE2))
-                    yield out(one, two, kind[row], d[row], lo[row] + step, np.full(len(row), -1), pa.nulls(len(row), pa.binary()))
+                    one, two = (hashing.mix(hashing.spans(hashing.prefix(whole, t), first, first + span)) for t in (hashing.BYTE, hashing.BYTE2))
+                    window = lo[row] + step
+                    held.append((keys[d[row]], sizes[d[row]], window, window, np.zeros(len(row), dtype=np.int64), one, two, kind[row] == _SHOW))
+                    count += len(row)
+                    if count >= LOCAL_ROWS:
+                        yield from flush()
+        yield from flush()
 
+    names = [x.split()[0] for x in _CUT.split(", ")]
     return run
 
 
@@ -383,10 +405,9 @@ def repeated_spans(keyed: DataFrame, span: int = SPAN, kgram: int = KGRAM, hot:
     release(spark, f"{where}/asked")
     sorted_ = cut.where("left >= 0").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_runs(span), _SCHEMA)
     found = keep(sorted_.select("key", "size", "lo", "hi"), where, "found")
-    windows = cut.where("left < 0")
-    twice = windows.groupBy("anchor", "other").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "other")
-    spread = windows.where(F.col("kind") == _ASK).join(twice, ["anchor", "other"]).select("key", "size", "lo", F.col("lo").alias("hi"))
-    spread = keep(spread, where, "spread")
+    windows = cut.where("left < 0").select(*_ROW[:-1], F.lit(0).alias("at"))
+    met = windows.where(F.col("kind") != _DONE).repartition("anchor", "run").sortWithinPartitions("anchor", "run").mapInArrow(_settle, _SCHEMA)
+    spread = keep(windows.unionByName(met).where(F.col("kind") == _DONE).select("key", "size", "lo", "hi"), where, "spread")
     release(spark, f"{where}/cut")
     return done.unionByName(found).unionByName(spread)
 

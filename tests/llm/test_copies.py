@@ -230,6 +230,37 @@ def test_slices_of_a_run_are_settled_alike(monkeypatch, last):
     assert got == {(7, 1, op5._DONE): n, (7, 1, op5._SHOW): 1, (7, 2, op5._ASK): 1, (8, 1, op5._DONE): 2, (8, 1, op5._SHOW): 1, (9, 5, op5._ASK): 1}
 
 
+def test_equal_windows_of_hot_anchors_leave_a_task_once():
+    """Near copies of one passage: a task sends each different window once, however many of them it has."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(40)
+    texts = [text(6) + passage + text(6) for _ in range(300)]
+    kinds = [op5._SHOW] + [op5._ASK] * 299
+    asked = [[{"kind": k, "anchor": 7, "hot": True, "lo": 0, "hi": len(t) - 12, "at": 0}] for k, t in zip(kinds, texts, strict=True)]
+    kind = pa.list_(pa.struct([("kind", pa.int8()), ("anchor", pa.int64()), ("hot", pa.bool_()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32())]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 60)), pa.array(texts[i : i + 60]), pa.array(asked[i : i + 60], kind)], ["key", "text", "asked"]) for i in range(0, 300, 60)]
+    rows = pa.Table.from_batches(list(op5._cut_out(12)(iter(batches)))).to_pylist()
+    sent = [r for r in rows if r["kind"] != op5._DONE]
+    windows = Counter(t[i : i + 12] for t in texts for i in range(len(t) - 11))
+    assert len(sent) == len(windows)  # not 300 * 41
+    assert sum(r["kind"] == op5._MANY for r in sent) == len(windows) - sum(n == 1 for t in texts[1:] for n in [windows[t[i : i + 12]] for i in range(len(t) - 11)])
+    done = {(r["key"], w) for r in rows if r["kind"] == op5._DONE for w in range(r["lo"], r["hi"] + 1)}
+    assert done == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 11) if windows[t[i : i + 12]] > 1}
+
+
+def test_hot_windows_equal_brute_force(spark):
+    """An anchor that many different runs share, over several tasks, against brute force."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(30)
+    texts = [text(rng.randint(0, 9)) + passage + text(rng.randint(0, 9)) for _ in range(80)] + [passage, passage, text(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string").withColumn("size", F.octet_length("text")).repartition(5)
+    got = {(r["key"], w) for r in op5.repeated_spans(docs.select("key", "size", "text"), 12, 5, 2).collect() for w in range(r["lo"], r["hi"] + 1)}
+    windows = Counter(t[i : i + 12] for t in texts for i in range(len(t) - 11))
+    assert got == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 11) if windows[t[i : i + 12]] > 1}
+
+
 def test_suffix_sort():
     rng = random.Random(4)
     for alphabet in ("a", "ab", "abcdef"):
