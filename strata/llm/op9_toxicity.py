@@ -73,17 +73,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
 
 
+def counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How many rows have each feature. Rows are counted one by one, since this is the driver's memory."""
+    out = np.zeros(1 << BITS, dtype=np.int32)
+    for f in rows:
+        np.add.at(out, f, 1)
+    return out
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1.5e-4) -> Model:
     """Fit on the distinct features of each row; full batches with Adam, in a fixed order."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, prior)
     np_, nu = len(positive), len(unlabelled)
-    cp = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    cu = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
+    cp, cu = counts(positive), counts(unlabelled)
+    able = np.flatnonzero(cp >= max(3, int(0.003 * np_)))
+    cp, cu = cp[able], cu[able]
     ratio = np.log((cp + 0.1) / (np_ + 0.2)) - np.log((cu + 0.1 + 0.5 * np.sqrt(cu)) / (nu + 0.2))
-    least = max(3, int(0.003 * np_))
-    able = np.flatnonzero((cp >= least) & (ratio > 1.5))
-    gain = cp[able] * ratio[able]
+    able, gain = able[ratio > 1.5], (cp * ratio)[ratio > 1.5]
     ids = np.sort(able[np.lexsort((able, -gain))[:FEATURES]])
     if not len(ids):
         return Model(ids, np.zeros(0), 0.0, prior)
@@ -94,8 +101,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             at = np.searchsorted(ids, f)
             at[at == len(ids)] = 0
             at = at[ids[at] == f]
-            row.append(np.full(len(at), i))
-            col.append(at)
+            row.append(np.full(len(at), i, dtype=np.int32))
+            col.append(at.astype(np.int32))
         return np.concatenate(row), np.concatenate(col)
 
     (rp, kp), (ru, ku) = matrix(positive), matrix(unlabelled)
@@ -137,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, text: str = "tex
 
     def rows(found: DataFrame) -> list[np.ndarray]:
         raw = sorted(found.select(F.col(text).alias("text")).mapInArrow(run, "f binary").toArrow().column("f").to_pylist())
-        return [np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in raw]
+        return [np.frombuffer(x, dtype=np.uint32) for x in raw]
 
     toxic = sample(marked.where(F.col(label) == 1).select(key).distinct(), key, positives)
     full = docs.where(train_rows & F.col(text).isNotNull())

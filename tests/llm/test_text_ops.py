@@ -199,3 +199,19 @@ def test_pu_learning_recovers_the_hidden_positives():
     neg = [np.unique(common()) for _ in range(850)]
     m = op9.train(pos, hidden + neg, 0.15)
     assert set(m.ids) >= set(range(8)) and m.weights[m.ids < 8].min() > 3 * max(m.weights[m.ids >= 8], default=0)
+
+
+def test_fit_in_little_of_the_drivers_memory():
+    """Counting features takes a few bytes for each of the 2^22 there are, and no copy of all rows; the model is the same for both kinds of numbers."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(np.append(rng.integers(0, 1 << op9.BITS, 400), np.arange(5) * (1 if i % 2 else 77) + 9)) for i in range(400)]
+    small = [r.astype(np.uint32) for r in rows]
+    want = op9.train(rows[::2], rows[1::2], 0.1, rounds=20)
+    tracemalloc.start()
+    got = op9.train(small[::2], small[1::2], 0.1, rounds=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got.ids) and np.array_equal(got.ids, want.ids) and np.array_equal(got.weights, want.weights) and got.bias == want.bias
+    assert peak < 12 << op9.BITS  # 4 bytes for each of two counts, and a passing array of flags
