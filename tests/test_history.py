@@ -355,3 +355,20 @@ def test_moves_within_a_file(spark, tmp_path):
             if m := re.match(r"([0-9a-f]{40}) (\d+) (\d+)", x):
                 want[int(m[3])] = (m[1], int(m[2]))
         assert got == want and len({c for c, _ in got.values()}) == 3
+
+
+def test_texts_take_no_part_in_counting_lines(spark, monkeypatch):
+    """The sizes of versions come from a join with a number for each content, not with its lines."""
+    from strata.operators import blame
+
+    commits = spark.createDataFrame([("a", []), ("b", ["a"])], "sha string, parents array<string>")
+    trees = spark.createDataFrame([("a", "f", "x"), ("b", "f", "y")], "commit string, path string, blob string")
+    blobs = spark.createDataFrame([("x", False, ["1", "2"]), ("y", False, ["1", "3", "2"])], "blob string, is_binary boolean, lines array<string>")
+    seen, real = [], blame.segments
+    monkeypatch.setattr(blame, "segments", lambda blocks, sizes, by: seen.append(sizes) or real(blocks, sizes, by))
+    asked = spark.createDataFrame([("b", "f", 1, 3)], "commit string, path string, s long, e long")
+    found = Scope(History.from_trees(commits, trees, blobs)).blame(asked)
+    got = {(r["final_start"], r["line_count"], r["blamed"], r["origin_start"]) for r in found.collect()}
+    assert got == {(1, 1, "a", 1), (2, 1, "b", 2), (3, 1, "a", 2)}
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(lines" in plan and "size(lines" not in plan[: plan.index("Join")]
