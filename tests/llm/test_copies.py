@@ -121,6 +121,34 @@ def test_jaccard_edges(spark, edge, none):
         op4.near_duplicates(edge, percent=40)
 
 
+def test_sets_pass_by_without_a_sort(spark, monkeypatch):
+    """Where sets are too many to be sent, rows that carry them aren't sorted, and no task holds several parts of them."""
+    monkeypatch.setattr(op4, "SMALL", 0)
+    monkeypatch.setattr(op4, "SMALL_BYTES", 0)
+    plans, keep = [], op4.keep
+
+    def kept(df, where, name):
+        if name.endswith(("-links", "-texts", "-possible")):
+            plans.append((name[4:], df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, where, name)
+
+    monkeypatch.setattr(op4, "keep", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = corpus(5)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r["id"]: (r["n"], r["component_id"]) for r in op4.near_duplicates(docs).collect()}
+        assert got == dict(enumerate(zip(*components_of(texts), strict=True)))
+        one = op4.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    links = [p for name, p in plans if name == "links"]
+    assert links and all(p.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in p and "Coalesce" not in p for p in links)
+    assert all("SortMergeJoin" not in p for name, p in plans if name == "possible")
+    assert "ShuffledHashJoin" in one and "SortMergeJoin" not in one.split("Window")[0]
+
+
 @pytest.mark.parametrize("n", range(7))
 def test_a_single_short_text(n):
     """A chunk of one text of few words: its shingles are those it has beside others."""
