@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strata.llm import common, hashing
 from strata.llm import op4_jaccard as op4
 from strata.llm import op5_substrings as op5
 from strata.llm import op8_decontaminate as op8
@@ -121,6 +122,22 @@ def test_jaccard_edges(spark, edge, none):
         op4.near_duplicates(edge, percent=40)
 
 
+def test_a_task_drops_the_powers_of_the_one_before(monkeypatch):
+    class Task:
+        id = 1
+        get = classmethod(lambda cls: cls)
+        taskAttemptId = classmethod(lambda cls: cls.id)  # noqa: N815
+
+    monkeypatch.setattr(common, "TaskContext", Task)
+    common.text_buffers(pa.array(["a"]))
+    hashing.powers(1 << 20)
+    common.text_buffers(pa.array(["a"]))
+    assert hashing._powers["n"] > 1 << 20
+    Task.id = 2
+    common.text_buffers(pa.array(["a"]))
+    assert hashing._powers == {"n": 0} and len(hashing.powers(10)[0]) >= 11
+
+
 def test_sets_pass_by_without_a_sort(spark, monkeypatch):
     """Where sets are too many to be sent, rows that carry them aren't sorted, and no task holds several parts of them."""
     monkeypatch.setattr(op4, "SMALL", 0)
