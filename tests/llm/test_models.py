@@ -3,6 +3,7 @@
 import binascii
 import math
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
@@ -73,6 +74,75 @@ def test_forward_and_expected_counts():
     assert like == pytest.approx(sum(plain(s, m) for s in short))
 
 
+def test_recursions_in_spans_and_scaled_now_and_then(monkeypatch):
+    """Rare classes don't underflow between scaled positions; runs of positions give the same counts at any size."""
+    r, m = np.random.default_rng(2), some_model()
+    m.emit[:50] *= 1e-25
+    seqs = [r.integers(0, 100, n) for n in (260, 4, 3, 61, 1, 8, 61, 5)] + [np.zeros(90, dtype=np.int64)]
+    assert np.allclose(op11.Lockstep(seqs).forward(m)[0], [plain(s, m) for s in seqs], rtol=1e-12)
+    whole = op11.expected(seqs, m)
+    assert np.isclose(whole[0].sum(), len(seqs)) and np.isclose(whole[2].sum(), sum(map(len, seqs)))
+    assert np.isclose(whole[1].sum(), sum(len(s) - 1 for s in seqs))
+    for span, scaled in ((1, 4), (7, 1), (40, 3)):
+        monkeypatch.setattr(op11, "SPAN", span)
+        monkeypatch.setattr(op11, "SCALED", scaled)
+        for a, b in zip(op11.expected(seqs, m), whole, strict=True):
+            assert np.allclose(a, b, rtol=1e-10, atol=1e-13)
+    one = [op11.expected([s], m) for s in seqs]
+    for k in range(4):
+        assert np.allclose(sum(x[k] for x in one), whole[k], rtol=1e-10, atol=1e-13)
+
+
+def test_long_texts_run_together():
+    """The positions that few texts reach are gone through once, not once for each group of texts."""
+    sizes = [5000 if i % 100 == 7 else 40 + i % 30 for i in range(1000)]
+    seqs = [np.full(n, i % 9, dtype=np.uint16) for i, n in enumerate(sizes)]
+    groups = list(op11.grouped(iter(seqs), 60_000))
+    assert sorted(i for numbers, _ in groups for i in numbers) == list(range(1000))
+    assert all(len(x) == sizes[i] and x[0] == i % 9 for numbers, group in groups for i, x in zip(numbers, group, strict=True))
+    assert sum(len(op11.Lockstep(group).active) for _, group in groups) < 6000
+    assert all(sum(map(len, group)) <= 60_000 for _, group in groups)
+    assert sorted(i for i, _ in op11.grouped(iter(seqs[:9]), 10)) == [[i] for i in range(9)]  # longer than the limit: alone
+
+
+def test_words_are_hashed_by_pieces():
+    """The same hashes as of each text by itself, in little memory for each byte."""
+    r = np.random.default_rng(3)
+    texts = ["", "a", " ", "Ab\x0bab", "x" * 70_000, *("".join(r.choice(list("abcDE \n"), n)) for n in r.integers(0, 900, 2000)), "", "end"]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    op11.words(buf[:10], np.array([0, 10]))
+    tracemalloc.start()
+    h1, h2, g, first = op11.words(buf, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(buf)
+    assert np.array_equal(np.diff(first), [len(tokens(t)) - 1 for t in texts])
+    for i in (0, 1, 2, 3, 4, 5, 1000, 2004, 2005, 2006):
+        a, b = first[i], first[i + 1]
+        for x, y in zip(op11.words(np.frombuffer(raw[i], dtype=np.uint8), np.array([0, len(raw[i])]))[:3], (h1, h2, g), strict=True):
+            assert np.array_equal(x, y[a:b])
+    assert [len(x) for x in op11.words(buf[:0], np.zeros(1, dtype=np.int64))] == [0, 0, 0, 1]
+
+
+def test_words_meet_and_are_found():
+    """Equal words become one and are found in the list, also where different ones share h1 or its leading bits."""
+    r = np.random.default_rng(4)
+    for keys in (r.integers(-(2**63), 2**63 - 1, 300), np.arange(-150, 150), np.array([-(2**63), -1, 0, 2**63 - 1])):
+        for other in (lambda h: h ^ 5, lambda h: r.integers(0, 2, len(h))):
+            h1 = r.choice(keys, 5000)
+            h2 = other(h1)
+            want = Counter(zip(h1.tolist(), h2.tolist(), strict=True))
+            a, b, g, c = op11._merged(h1, h2, h1 % 7, np.ones(5000, dtype=np.int64))
+            assert dict(zip(zip(a.tolist(), b.tolist(), strict=True), c.tolist(), strict=True)) == want and np.array_equal(g, a % 7)
+        order = np.unique(keys)[::2]
+        listed = op11.Listed(order, order ^ 5, *(np.zeros(0, dtype=np.int64),) * 4)
+        at, hit = listed.finder()(h := np.concatenate((keys, keys, keys + 1)), np.concatenate((keys ^ 5, keys ^ 4, (keys + 1) ^ 5)))
+        assert np.array_equal(hit, np.isin(h, order) & np.repeat([True, False, True], len(keys))) and np.array_equal(order[at[hit]], h[hit])
+    none = np.zeros(0, dtype=np.int64)
+    assert not op11.Listed(*(none,) * 6).finder()(keys, keys)[1].any() and not len(listed.finder()(none, none)[0])
+
+
 def test_rounds_raise_the_likelihood_and_parts_do_not_matter(spark, sf):
     docs = table(spark, sf, "documents").where("doc_id < 200").select("doc_id", "text")
     train = ~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
