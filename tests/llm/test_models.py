@@ -158,6 +158,26 @@ def test_rounds_raise_the_likelihood_and_parts_do_not_matter(spark, sf):
     assert found[0][:2] == found[1][:2] and found[0][2] == pytest.approx(found[1][2], rel=1e-6)
 
 
+def test_first_rounds_go_through_all_texts(spark):
+    """All of every training text has its turn in the first rounds; a turn without texts changes nothing."""
+    r = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in r.zipf(1.4, 700) % 300)) for i in range(7)], "doc_id long, text string")
+    where = scratch_dir(spark)
+    v = op11.count_words(docs, F.lit(True), where)
+    s = op11.sequences(docs, v, F.lit(True), where)
+    got = op11.baum_welch(s, v, states=3, warm_rounds=5, rounds=0)
+    rows = s.select("ids", F.pmod(F.xxhash64("ids"), F.lit(5)).alias("turn")).collect()
+    share = (v.listed.tokens + 1.0) / (v.listed.tokens.sum() + op11.CLASSES)
+    m, sums, tokens_ = op11.first_model(share, 3), [0, 0, 0], 0
+    for k in range(5):
+        if turn := [np.frombuffer(x["ids"], dtype=np.uint16)[i : i + op11.PIECE] for x in rows if x["turn"] == k for i in range(0, 701, op11.PIECE)]:
+            sums = [a + b for a, b in zip(sums, op11.expected(turn, m), strict=False)]
+            m = op11.maximised(*sums, share)
+            tokens_ += sum(map(len, turn))
+    assert tokens_ == 7 * 701 == pytest.approx(sums[2].sum())
+    assert np.allclose(got.step, m.step, rtol=1e-4) and np.allclose(got.emit, m.emit, rtol=1e-3, atol=1e-7)
+
+
 def test_scores(spark, edge):
     rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
     clash = edge.selectExpr("*", "doc_id as rid", "doc_id as carried", "'x' as ids", "1 as h1", "2 as train", "3 as base", "4 as rare", "5 as base_score", "6 as `a.b`")
