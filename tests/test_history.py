@@ -372,3 +372,21 @@ def test_texts_take_no_part_in_counting_lines(spark, monkeypatch):
     assert got == {(1, 1, "a", 1), (2, 1, "b", 2), (3, 1, "a", 2)}
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "size(lines" in plan and "size(lines" not in plan[: plan.index("Join")]
+
+
+@pytest.mark.parametrize("moved", [0, 20])
+def test_versions_are_compared_by_digests(spark, monkeypatch, moved):
+    """Texts don't take part in the joins of versions; where moved lines are measured, they have to."""
+    from strata.operators import diff
+
+    old, new = ["1" * 99, None, "2", "2"], ["2", "1" * 99, None, "3", "2"]
+    commits = spark.createDataFrame([("a", []), ("b", ["a"])], "sha string, parents array<string>")
+    trees = spark.createDataFrame([("a", "f", "x"), ("b", "f", "y")], "commit string, path string, blob string")
+    blobs = spark.createDataFrame([("x", False, old), ("y", False, new)], "blob string, is_binary boolean, lines array<string>")
+    seen, real = [], diff.lcs_blocks
+    monkeypatch.setattr(diff, "lcs_blocks", lambda pairs, *a: seen.append(pairs) or real(pairs, *a))
+    asked = spark.createDataFrame([("b", "f", 1, 5)], "commit string, path string, s long, e long")
+    found = Scope(History.from_trees(commits, trees, blobs), moved=moved).blame(asked)
+    lines = {r["final_start"] + k: (r["blamed"], r["origin_start"] + k) for r in found.collect() for k in range(r["line_count"])}
+    assert lines == {1: ("b", 1), 2: ("a", 1), 3: ("a", 2), 4: ("b", 4), 5: ("a", 4)}
+    assert dict(seen[0].dtypes)["old"] == dict(seen[0].dtypes)["new"] == ("array<string>" if moved else "array<binary>")
