@@ -91,3 +91,13 @@ def test_copies_of_similar_files_meet_once(spark):
     sides = [spark.createDataFrame(x, "commit int, path string, line string") for x in (old, new)]
     got = diff.similar_files(*sides, ["commit"], 50)
     assert sorted(tuple(r) for r in got.collect()) == sorted((1, "a/1", f"b/{k}", 83) for k in range(40))
+
+
+def test_similar_files_read_texts_once(spark):
+    """What is compared are hashes that were kept; files whose sizes don't allow the score never meet, those at the bound do."""
+    p = plan(entry.queries()["rename_similarity"](spark, DIR))
+    assert "FileScan" in p and "documents.parquet" not in p and "split(" not in p
+    old = [(1, "a/1", x) for x in "abcdef"] + [(1, "a/2", x) for x in "abcdefg"]
+    sides = [spark.createDataFrame(x, "commit int, path string, line string") for x in (old, [(1, "b/1", x) for x in "abc"])]
+    assert [tuple(r) for r in diff.similar_files(*sides, ["commit"], 50).collect()] == [(1, "a/1", "b/1", 50)]
+    assert "least" in diff.similar_files(*sides, ["commit"], 50)._jdf.queryExecution().optimizedPlan().toString()
